@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowmill.llm import packing
+from flowmill.llm import binary_ids, packing
+from flowmill.llm.shared import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -25,8 +26,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE))
 
 
+def op4_binary_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_ids.round_trip(table(spark, sf_dir, "documents"), scratch_path(spark, "ids"), vocabulary(WORD_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_binary_token_ids": op4_binary_token_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {}

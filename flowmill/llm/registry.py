@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowmill.llm import binary_ids, packing
+from flowmill.llm import binary_ids, packing, simhash
 from flowmill.llm.shared import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -30,9 +30,15 @@ def op4_binary_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.round_trip(table(spark, sf_dir, "documents"), scratch_path(spark, "ids"), vocabulary(WORD_BPE))
 
 
+def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal(found["fp"]).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_binary_token_ids": op4_binary_token_ids,
+    "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}

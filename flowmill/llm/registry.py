@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowmill.llm import binary_ids, packing, simhash
+from flowmill.llm import binary_ids, minhash, packing, simhash
 from flowmill.llm.shared import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -35,9 +35,14 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op9_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_binary_token_ids": op4_binary_token_ids,
+    "op9_minhash_fingerprints": op9_minhash_fingerprints,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
 }
 

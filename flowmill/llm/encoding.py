@@ -11,15 +11,23 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from flowmill.llm.shared import BoundedMemo, batch_words, ragged
+from flowmill.llm.shared import batch_words, ragged, slices
 
 MARKS = ".,!?;:"
+#: Letters that stay one letter when the tokenizer normalizes them; after others a closing mark may join what they leave.
+PLAIN = r"^[A-Za-z\x{C0}-\x{12F}\x{131}-\x{24F}\x{400}-\x{45F}]+$"
 LONG = 64
+MOST_KEYS = 800_000
 
 
 class WordEncoder:
-    """Encodes batches of texts; each text's ids end with `end_id`."""
+    """Encodes batches of texts; each text's ids end with `end_id`.
+
+    `known` maps a key - a letter word with A-Z lower-cased, or any other word as it is - to its ids'
+    place in `store`; both are emptied when there are too many keys.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -27,56 +35,75 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.words: BoundedMemo = BoundedMemo(300_000)
-        self.cores: BoundedMemo = BoundedMemo(600_000)
+        self.known: dict[str, int] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known.clear()
+        self.store, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self._keep([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self._keep(list(MARKS), *self._alone(list(MARKS)))
+
+    def _keep(self, keys: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.known)
+        used = int(self.ends[n - 1]) if n else 0
+        while used + len(flat) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        while n + len(keys) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.store[used : used + len(flat)] = flat
+        self.ends[n : n + len(keys)] = used + np.cumsum(counts)
+        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
 
-    def _alone(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return np.array([i for one in ids for i in one], np.uint32), np.array([len(one) for one in ids], np.int64)
 
-    def _together(self, cores: list[str]) -> list[np.ndarray]:
-        """Ids of letter words, encoded as one text and cut at the tokenizer's own word numbers."""
-        found = self.tokenizer.encode(" ".join(cores), add_special_tokens=False)
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and their counts, of letter words, encoded as one text and cut at the tokenizer's own word numbers."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         of = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
-        counts = np.bincount(of[of >= 0], minlength=len(cores))
-        if len(counts) != len(cores) or (of < 0).any() or (counts == 0).any():
-            return self._alone(cores)
-        return np.split(np.array(found.ids, np.uint32), np.cumsum(counts)[:-1])
-
-    def _learn(self, words: list[str]) -> dict[str, np.ndarray]:
-        parts, odd, new = {}, [], {}
-        for w in words:
-            core = w.rstrip(MARKS)
-            if core.isalpha() and len(w) <= LONG:
-                parts[w] = (core.lower() if core.isascii() else core, w[len(core) :])
-                for p in parts[w]:
-                    if p and p not in self.cores:
-                        new[p] = None
-            else:
-                odd.append(w)
-        letters = [p for p in new if p.isalpha()]
+        counts = np.bincount(of[of >= 0], minlength=len(words))
+        if len(counts) != len(words) or (of < 0).any() or (counts == 0).any():
+            return self._alone(words)
+        return np.array(found.ids, np.uint32), counts
+
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        """Each distinct key's number, after encoding those that are new."""
+        if len(self.known) + len(keys) > max(MOST_KEYS, 2 * len(keys)):
+            self._empty()
+        new = [k for k in keys if k not in self.known]
+        letters = [k for k in new if k.isalpha()]
         for i in range(0, len(letters), 2000):
-            self.cores.update(zip(letters[i : i + 2000], self._together(letters[i : i + 2000]), strict=True))
-        marks = [p for p in new if not p.isalpha()]
-        self.cores.update(zip(marks, self._alone(marks), strict=True))
-        got = dict(zip(odd, self._alone(odd), strict=True))
-        for w, (core, tail) in parts.items():
-            got[w] = np.concatenate([self.cores[core], self.cores[tail]]) if tail else self.cores[core]
-        return got
+            self._keep(letters[i : i + 2000], *self._together(letters[i : i + 2000]))
+        others = [k for k in new if not k.isalpha()]
+        self._keep(others, *self._alone(others))
+        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch (uint32), and where each text's begin, with an end."""
+        parts = [self._encode(part) for part in slices(texts)]
+        sizes = np.concatenate([np.zeros(1, np.int64), *[np.diff(begin) for _, begin in parts]])
+        return np.concatenate([np.zeros(0, np.uint32), *[ids for ids, _ in parts]]), np.cumsum(sizes)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         begin, index, words = batch_words(texts)
-        self.words.trim()
-        self.cores.trim()
-        once = self._learn([w for w in words if w and w not in self.words])
-        none = np.zeros(0, np.uint32)
-        ids = [none if not w else once[w] if w in once else self.words[w] for w in words]
-        self.words.update((w, v) for w, v in once.items() if len(w) <= LONG)
-        lengths = np.array([len(v) for v in ids], np.int64)
-        table = np.concatenate([none, *ids])
-        heads = np.cumsum(lengths) - lengths
-        flat = table[ragged(heads[index], lengths[index])]
-        upto = np.concatenate([[0], np.cumsum(lengths[index])])[begin]
+        core = pc.utf8_rtrim(words, characters=MARKS)
+        tail = np.asarray(pc.subtract(pc.binary_length(words), pc.binary_length(core)))
+        regular = np.asarray(pc.match_substring_regex(core, PLAIN)) & np.asarray(pc.utf8_is_alpha(core)) & (tail <= 1) & (np.asarray(pc.binary_length(words)) <= LONG)
+        keys = pc.if_else(pa.array(regular), pc.ascii_lower(core), words).dictionary_encode()
+        number = self._numbers(keys.dictionary.to_pylist())[np.asarray(keys.indices)]
+        tailed = np.flatnonzero(regular & (tail == 1))
+        mark = np.zeros(len(words), np.int64)
+        mark[tailed] = [self.known[w[-1]] for w in words.take(pa.array(tailed)).to_pylist()]
+        pair = np.stack([number, mark], axis=1).ravel()
+        heads = np.where(pair > 0, self.ends[pair - 1], 0)
+        lengths = self.ends[pair] - heads
+        once = self.store[ragged(heads, lengths)]
+        sizes = lengths.reshape(-1, 2).sum(axis=1)
+        starts = np.cumsum(sizes) - sizes
+        flat = once[ragged(starts[index], sizes[index])]
+        upto = np.concatenate([[0], np.cumsum(sizes[index])])[begin]
         out = np.full(len(flat) + len(texts), self.end_id, np.uint32)
         out[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), np.diff(upto))] = flat
         return out, upto + np.arange(len(upto))

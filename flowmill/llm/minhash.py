@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.llm.components import components
-from flowmill.llm.shared import BoundedMemo, batch_words, key_bounds, materialize, partitions, range_bucket, texts_of
+from flowmill.llm.shared import BoundedMemo, batch_words, key_bounds, materialize, partitions, range_bucket, slices, texts_of
 
 PERMUTATIONS = 128
 WORDS = 5
@@ -50,7 +50,8 @@ class Shingler:
 
     def hashes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All shingle hashes, and where each text's begin, with an end."""
-        begin, index, words = batch_words(texts)
+        begin, index, found = batch_words(texts)
+        words = found.to_pylist()
         self.memo.trim()
         once = np.zeros(len(words), np.uint64)
         for i, w in enumerate(words):
@@ -81,6 +82,10 @@ class Shingler:
 
     def signatures(self, texts: pa.Array) -> np.ndarray:
         """One row of minima for each text."""
+        none = np.zeros((0, PERMUTATIONS), np.uint64)
+        return np.concatenate([none, *[self._signatures(part) for part in slices(texts)]])
+
+    def _signatures(self, texts: pa.Array) -> np.ndarray:
         hashes, at = self.hashes(texts)
         out = np.full((len(texts), PERMUTATIONS), NONE, np.uint64)
         full = np.flatnonzero(np.diff(at))

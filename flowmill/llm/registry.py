@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowmill.llm import binary_ids, minhash, packing, simhash
+from flowmill.llm import binary_ids, minhash, mixing, packing, simhash, url_filter
 from flowmill.llm.shared import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+#: Labels of hosts whose pages are listed.
+LISTED_LABELS = ["spam-farm", "cheap-pills"]
 
 
 def vocabulary(name: str) -> str:
@@ -39,11 +48,46 @@ def op9_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.listed_from(pages, LISTED_LABELS), URL_RULES)
+
+
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_binary_token_ids": op4_binary_token_ids,
+    "op5_url_filters": op5_url_filters,
+    "op6_mixing_sources": op6_mixing_sources,
     "op9_minhash_fingerprints": op9_minhash_fingerprints,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP5_SQL = r"""
+WITH parts AS (
+    SELECT page_id,
+        coalesce(translate(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), keyed AS (
+    SELECT *, regexp_replace(host, '^www\.', '') || rtrim(path, '/') AS canonical FROM parts
+), listed AS (
+    SELECT DISTINCT canonical FROM keyed
+    WHERE canonical <> '' AND list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills'])
+), rules(verdict, rule_host, rule_path) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fitting AS (
+    SELECT k.page_id, k.host, k.path, k.canonical, r.rule_host || r.rule_path AS rule, r.verdict
+    FROM keyed k LEFT JOIN rules r
+        ON (k.host = r.rule_host OR suffix(k.host, '.' || r.rule_host)) AND starts_with(k.path, r.rule_path)
+    QUALIFY row_number() OVER (PARTITION BY k.page_id ORDER BY length(r.rule_host || r.rule_path) DESC NULLS LAST) = 1
+)
+SELECT f.page_id, f.host, f.path, f.rule,
+    coalesce(f.verdict, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM fitting f LEFT JOIN listed l ON f.canonical = l.canonical
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}

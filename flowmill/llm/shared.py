@@ -83,13 +83,25 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def slices(texts: pa.Array, most_bytes: int = 1 << 22) -> list[pa.Array]:
+    """A batch's texts in runs of at most so many bytes, or of a single text."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64))
+    out, at = [], 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        out.append(texts.slice(at, to - at))
+        at = to
+    return out
+
+
+def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Pieces of texts between ASCII white space: where each text's pieces begin (and an end),
     each piece's number among the distinct ones, and those. Some pieces are empty."""
     split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
     begin = np.asarray(split.offsets, dtype=np.int64)
-    return begin - begin[0], np.asarray(coded.indices, dtype=np.int64), coded.dictionary.to_pylist()
+    return begin - begin[0], np.asarray(coded.indices), coded.dictionary
 
 
 class BoundedMemo(dict):

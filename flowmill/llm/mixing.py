@@ -28,6 +28,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from flowmill.llm.shared import materialize
 
@@ -154,7 +155,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     return out.where("__n >= __size").unionByName(cut).select(*docs.columns)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
     """Texts up to the end of their so-manieth word."""
 

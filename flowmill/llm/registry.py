@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowmill.llm import binary_ids, minhash, mixing, packing, simhash, url_filter
+from flowmill.llm import binary_ids, minhash, mixing, packing, simhash, url_filter, viterbi
 from flowmill.llm.shared import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 URL_RULES = [
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -57,11 +58,16 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.token_counts(table(spark, sf_dir, "documents"), viterbi.zipf_scores(vocabulary(PIECES)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_binary_token_ids": op4_binary_token_ids,
     "op5_url_filters": op5_url_filters,
     "op6_mixing_sources": op6_mixing_sources,
+    "op7_token_counts": op7_token_counts,
     "op9_minhash_fingerprints": op9_minhash_fingerprints,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
 }

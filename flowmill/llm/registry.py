@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowmill.llm import binary_ids, minhash, mixing, packing, simhash, url_filter, viterbi
+from flowmill.llm import binary_ids, minhash, mixing, packing, simhash, topk, url_filter, viterbi
 from flowmill.llm.shared import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -62,12 +63,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.token_counts(table(spark, sf_dir, "documents"), viterbi.zipf_scores(vocabulary(PIECES)))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_binary_token_ids": op4_binary_token_ids,
     "op5_url_filters": op5_url_filters,
     "op6_mixing_sources": op6_mixing_sources,
     "op7_token_counts": op7_token_counts,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_minhash_fingerprints": op9_minhash_fingerprints,
     "op10_simhash_near_duplicates": op10_simhash_near_duplicates,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import binary_ids, minhash, mixing, packing, simhash, topk, url_filter, viterbi
+from flowmill.llm import binary_ids, minhash, mixing, packing, quality, simhash, topk, url_filter, viterbi
 from flowmill.llm.shared import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -67,8 +67,13 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_quality_rules": op3_quality_rules,
     "op4_binary_token_ids": op4_binary_token_ids,
     "op5_url_filters": op5_url_filters,
     "op6_mixing_sources": op6_mixing_sources,

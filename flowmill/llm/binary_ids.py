@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowmill.llm import simple8b
-from flowmill.llm.encoding import WordEncoder
+from flowmill.llm.encoding import encoder
 from flowmill.llm.shared import key_bounds, materialize, partitions, range_bucket, texts_of
 
 MAGIC = int.from_bytes(b"FMIDS8B1", "little")
@@ -73,14 +73,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
     ordered = keyed.withColumn("part", range_bucket(F.col("doc_id"), bounds)).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, end_id)
+        coder = encoder(tokenizer, end_id)
         part, number, keys, lengths, held, total = None, 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([frame(part, number, keys, lengths, np.concatenate(held))], pa.binary())], ["frame"])
 
         for batch in batches:
-            ids, begin = encoder.encode(texts_of(batch.column(1)))
+            ids, begin = coder.encode(texts_of(batch.column(1)))
             for doc, p, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                 if keys and (p != part or total >= FRAME_IDS):
                     yield flush()

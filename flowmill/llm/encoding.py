@@ -7,6 +7,7 @@ own pattern cuts them, and letter words are encoded many at a time.
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -107,3 +108,9 @@ class WordEncoder:
         out = np.full(len(flat) + len(texts), self.end_id, np.uint32)
         out[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), np.diff(upto))] = flat
         return out, upto + np.arange(len(upto))
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, end_id: int) -> WordEncoder:
+    """A process has one encoder, so that its tasks share what it knows."""
+    return WordEncoder(path, end_id)

@@ -15,6 +15,7 @@ their texts; null doc_ids come first; an empty table gives no rows; other column
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -101,6 +102,12 @@ class Shingler:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def shared_shingler() -> Shingler:
+    """A process has one, so that its tasks share what it knows."""
+    return Shingler()
+
+
 def short_print(signatures: np.ndarray) -> np.ndarray:
     """8 bits of each minimum."""
     return (signatures >> np.uint64(48)).astype(np.uint8)
@@ -146,7 +153,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     ordered = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = shared_shingler()
         waiting: tuple | None = None
         for batch in batches:
             pairs = []
@@ -192,7 +199,7 @@ def similar(docs: DataFrame, at_least: float = 0.8, band_rows: int = 8) -> DataF
     bands = PERMUTATIONS // band_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = shared_shingler()
         for batch in batches:
             texts = texts_of(batch.column(1))
             signed, (hashes, at) = shingler.signatures(texts), shingler.hashes(texts)

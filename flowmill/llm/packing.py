@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowmill.llm.encoding import WordEncoder
+from flowmill.llm.encoding import encoder
 from flowmill.llm.shared import materialize, partitions, texts_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,9 +36,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     """One row for each piece of each document: its place in the document, length and checksum."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, end_id)
+        coder = encoder(tokenizer, end_id)
         for batch in batches:
-            ids, begin = encoder.encode(texts_of(batch.column(1)))
+            ids, begin = coder.encode(texts_of(batch.column(1)))
             raw, step = memoryview(ids.astype("<u4").tobytes()), 4
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, a, b in zip(batch.column(0).to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: list[str] = []
+#: Ranges of a key that are made at most; a range may be as large as its task's disk allows.
+MOST_RANGES = 4096
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -57,7 +59,8 @@ def key_bounds(df: DataFrame, key: str, n: int) -> list[int]:
     """
     if n < 2:
         return []
-    at = F.array(*[F.lit(i / n) for i in range(1, n)]) if n < 200 else F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: i / F.lit(float(n)))
+    n = min(n, MOST_RANGES)
+    at = F.lit([i / n for i in range(1, n)])
     row = df.select(F.percentile_approx(key, at, max(10_000, 20 * n)).alias("b"), F.min(key).alias("m")).first()
     return sorted({int(b) for b in row["b"] or []} - {row["m"]})
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import binary_ids, minhash, mixing, packing, quality, simhash, topk, url_filter, viterbi
+from flowmill.llm import binary_ids, line_dedup, minhash, mixing, packing, quality, simhash, topk, url_filter, viterbi
 from flowmill.llm.shared import scratch_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -71,8 +71,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("removed_lines").alias("n_removed"), "removed_lines", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_binary_token_ids": op4_binary_token_ids,
     "op5_url_filters": op5_url_filters,

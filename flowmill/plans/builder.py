@@ -120,7 +120,7 @@ class Plan:
 class Builder:
     def __init__(self, spark: SparkSession, env: dict[str, str] | None = None, catalogs: dict[str, Catalog] | None = None, frames: dict[str, dict[str, DataFrame]] | None = None, plugins: dict[str, Any] | None = None):
         self.spark, self.env = spark, dict(os.environ) if env is None else env
-        self.catalogs, self.frames, self.plugins = catalogs or {}, frames or {}, dict(plugins or {})
+        self.catalogs, self.handed, self.plugins = catalogs or {}, frames or {}, dict(plugins or {})
 
     def build(self, text: str) -> Plan:
         doc = parse(text)
@@ -132,7 +132,7 @@ class Builder:
         for name, block in doc.plugins.items():
             if name not in self.plugins and "path" in block.attributes and str(path := self.constant(block.attributes["path"], plain)).endswith(".py"):
                 self.plugins[name] = plugin_calls.load(str(path))
-        connections = {n: Connection(self.spark, n, {k: self.constant(v, plain) for k, v in c.attributes.items()}, self.catalogs.get(n, {}), self.frames.get(n, {}), self.plugins) for n, c in doc.connections.items()}
+        connections = {n: Connection(self.spark, n, {k: self.constant(v, plain) for k, v in c.attributes.items()}, self.catalogs.get(n, {}), self.handed.get(n, {}), self.plugins) for n, c in doc.connections.items()}
         steps: dict[str, Step] = {}
         groups: dict[str, list[str]] = {}
         for p in doc.pipelines:

@@ -34,6 +34,10 @@ class TableInfo:
     generated: tuple[str, ...] = ()
     unique: list[tuple[str, ...]] = field(default_factory=list)
     checks: list[str] = field(default_factory=list)
+    indexes: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: columns with a sequence of their own, and the values that columns are limited to
+    sequences: tuple[str, ...] = ()
+    enums: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
 Catalog = dict[str, TableInfo]

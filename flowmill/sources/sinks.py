@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from flowmill.lang.syntax import DocumentError
 from flowmill.operators import merge
 from flowmill.sources.registry import Connection, TableInfo
+from flowmill.sources.types import coerced
 
 
 def swap(connection: Connection, table: str, df: DataFrame) -> None:
@@ -59,7 +60,7 @@ def write(connection: Connection, table: str, df: DataFrame, mode: str = "append
     columns = old.columns + ([c for c in df.columns if c.lower() not in {x.lower() for x in old.columns}] if create_missing_columns else [])
     types = {f.name.lower(): f.dataType for f in old.schema.fields}
     df = merge.fitting(df, columns, info.generated)
-    df = df.select(*[F.col(f"`{c}`").cast(types[c.lower()]).alias(c) if c.lower() in types else F.col(f"`{c}`") for c in df.columns])
+    df = df.select(*[coerced(F.col(f"`{c}`"), df.schema[c].dataType, types[c.lower()]).alias(c) if c.lower() in types else F.col(f"`{c}`") for c in df.columns])
     if mode == "replace":
         swap(connection, table, df)
     elif on_conflict and info.primary_key:
@@ -81,25 +82,43 @@ _DDL = {T.LongType: "BIGINT", T.IntegerType: "INT", T.ShortType: "SMALLINT", T.D
 
 
 def ddl(table: str, schema: T.StructType, info: TableInfo, settings, renamed: dict[str, str] | None = None, existing: list[str] | None = None) -> list[dict]:
-    """What creating the table takes, before the data and after: phase, statement, enforced (by Spark)."""
+    """What creating the table takes, in order: phase (pre or post the data), statement, and whether
+    Spark enforces it. Keys to columns that aren't written go; keys to renamed tables are renamed."""
     renamed, names = renamed or {}, {f.name for f in schema.fields}
     kind = lambda t: _DDL.get(type(t), t.simpleString().upper())
-    out = []
-    if existing is None:
-        columns = ", ".join(f"{f.name} {kind(f.dataType)}" for f in schema.fields)
-        out.append({"phase": "pre", "statement": f"CREATE TABLE {table} ({columns}) USING parquet", "enforced": True})
-    else:
-        out += [{"phase": "pre", "statement": f"ALTER TABLE {table} ADD COLUMNS ({f.name} {kind(f.dataType)})", "enforced": True} for f in schema.fields if f.name not in existing]
-    if info.primary_key and not settings.skip_pk:
-        out.append({"phase": "post", "statement": f"ALTER TABLE {table} ADD PRIMARY KEY ({', '.join(info.primary_key)})", "enforced": False})
+    out: list[dict] = []
+    say = lambda phase, statement, enforced=False: out.append({"phase": phase, "statement": statement, "enforced": enforced})
+    listed = lambda columns: ", ".join(columns)
+    if existing is not None:
+        for f in schema.fields:
+            if f.name not in existing:
+                say("pre", f"ALTER TABLE {table} ADD COLUMNS ({f.name} {kind(f.dataType)})", True)
+        return out
+    for column, values in info.enums.items():
+        if column in names:
+            say("pre", f"CREATE TYPE {table}_{column} AS ENUM ({listed(repr(v) for v in values)})")
+    say("pre", f"CREATE TABLE {table} ({listed(f'{f.name} {kind(f.dataType)}' for f in schema.fields)}) USING parquet", True)
+    if not settings.skip_seq:
+        for column in info.sequences:
+            if column in names:
+                say("pre", f"CREATE SEQUENCE {table}_{column}_seq OWNED BY {table}.{column}")
+    if info.primary_key and set(info.primary_key) <= names and not settings.skip_pk:
+        say("post", f"ALTER TABLE {table} ADD PRIMARY KEY ({listed(info.primary_key)})")
+    if not settings.skip_idx:
+        for name, columns in info.indexes.items():
+            if set(columns) <= names:
+                say("post", f"CREATE INDEX {name} ON {table} ({listed(columns)})")
     if not settings.skip_fk:
         for k in info.foreign_keys:
             if set(k.columns) <= names:
-                out.append({"phase": "post", "statement": f"ALTER TABLE {table} ADD FOREIGN KEY ({', '.join(k.columns)}) REFERENCES {renamed.get(k.table, k.table)} ({', '.join(k.target)})", "enforced": False})
+                say("post", f"ALTER TABLE {table} ADD FOREIGN KEY ({listed(k.columns)}) REFERENCES {renamed.get(k.table, k.table)} ({listed(k.target)})")
     if not settings.skip_unique:
-        out += [{"phase": "post", "statement": f"ALTER TABLE {table} ADD UNIQUE ({', '.join(u)})", "enforced": False} for u in info.unique]
+        for u in info.unique:
+            if set(u) <= names:
+                say("post", f"ALTER TABLE {table} ADD UNIQUE ({listed(u)})")
     if not settings.skip_check:
-        out += [{"phase": "post", "statement": f"ALTER TABLE {table} ADD CHECK ({c})", "enforced": False} for c in info.checks]
+        for c in info.checks:
+            say("post", f"ALTER TABLE {table} ADD CHECK ({c})")
     return out
 
 
@@ -113,6 +132,8 @@ def violations(df: DataFrame, info: TableInfo, read) -> DataFrame:
         target = read(k.table).select(*[F.col(t).alias(c) for t, c in zip(k.target, k.columns, strict=True)])
         orphans = df.dropna(subset=list(k.columns)).join(target, list(k.columns), "left_anti")
         found.append(orphans.agg(F.count("*").alias("violations")).select(F.lit(f"foreign_key({','.join(k.columns)})").alias("constraint"), "violations"))
+    for column, values in info.enums.items():
+        found.append(df.agg(F.count_if(F.col(column).isNotNull() & ~F.col(column).isin(*values)).alias("violations")).select(F.lit(f"enum({column})").alias("constraint"), "violations"))
     for c in info.checks:
         found.append(df.agg(F.count_if(~F.coalesce(F.expr(c), F.lit(True))).alias("violations")).select(F.lit(f"check({c})").alias("constraint"), "violations"))
     out = found[0] if found else df.sparkSession.createDataFrame([], "constraint string, violations long")

@@ -173,16 +173,21 @@ def _joined(docs: DataFrame, marked: DataFrame, how: str) -> DataFrame:
     return docs.join(m, same, how).drop("__doc", "__key")
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows whose `key` another row has too."""
+    twice = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    return keyed.join(twice, "key")
+
+
 ORDER = "struct(doc_id is null as none, doc_id, text_key, line)"
 
 
 def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     """h1, h2 of the lines that are near an earlier one. `distinct` has h1, h2, keys and first (the
     earliest occurrence)."""
-    halves = materialize(distinct.where("size(keys) > 0").select("h1", "h2", F.explode(F.array_distinct("keys")).alias("key")), "halves")
-    shared = halves.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    possible = halves.join(shared, "key").select("h1", "h2").distinct()
-    asked = distinct.drop("keys").join(possible, ["h1", "h2"])
+    halves = distinct.where("size(keys) > 0").select("h1", F.explode(F.array_distinct("keys")).alias("key"))
+    possible = _shared(halves).select("h1").distinct()
+    asked = distinct.drop("keys").join(possible, "h1")
     by_doc = asked.groupBy("first.doc_id", "first.text_key").agg(F.collect_list(F.struct("first.line", "h1", "h2")).alias("asked"))
     texts = _joined(docs.select("doc_id", "text"), by_doc, "inner")
     schema = "h1 long, h2 long, doc_id long, text_key long, line int, words string, places array<long>"
@@ -202,7 +207,10 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 
     sent = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"), "asked")
     candidates = materialize(sent.mapInArrow(run, schema).dropDuplicates(["h1", "h2"]).withColumn("first", F.expr(ORDER)).drop("doc_id", "text_key", "line"), "near_lines")
-    emitted = materialize(candidates.select("h1", "h2", "first", F.size("places").alias("n"), F.posexplode("places").alias("place", "key")).withColumn("whole", F.expr("place = n - 1")).drop("n"), "variants")
+    # keys travel with 8 bytes of their line; what names the line joins those that meet
+    met = _shared(candidates.select("h1", F.posexplode("places").alias("place", "key")))
+    named = candidates.select("h1", "h2", "first", F.size("places").alias("n"))
+    emitted = materialize(met.join(named, "h1").withColumn("whole", F.expr("place = n - 1")).drop("n"), "variants")
     us, them = F.struct("first", "h1", "h2"), "struct<first: struct<none: boolean, doc_id: bigint, text_key: bigint, line: int>, h1: bigint, h2: bigint>"
     deleted = emitted.where("not whole")
     # changed: the same key without the same place

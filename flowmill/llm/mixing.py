@@ -37,7 +37,9 @@ MOST = 3
 BLOCK_WORDS = 1024
 RANGES = 256
 CHUNK = 4096
-STEP = (math.sqrt(5) - 1) / 2
+#: The golden ratio as an odd fraction of the period: whole-number arithmetic, exact for any number of slots.
+PERIOD = 1 << 31
+STEP = round((math.sqrt(5) - 1) / 2 * PERIOD) | 1
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -101,7 +103,7 @@ class Mix:
         for s in self.sources:
             at += s[4] / max(total, 1)
             edges.append(at)
-        point = F.expr(f"(id * {STEP:.17f}D) % 1D") if slots < 1 << 40 else F.expr(f"pmod(id * {int(STEP * 2**62)}L, {2**62}L) / {float(2**62)}D")
+        point = F.expr(f"(id % {PERIOD}L) * {STEP}L % {PERIOD}L / {PERIOD}D")
         owner = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda n, e: n + F.when(F.col("point") >= e, 1).otherwise(0)) if edges else F.lit(0)
         drawn = spark.range(slots).withColumn("point", point).select("id", F.least(owner, F.lit(max(len(need) - 1, 0))).alias("n"))
         drawn = drawn.withColumn("chunk", F.expr(f"id div {CHUNK}"))

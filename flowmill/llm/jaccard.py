@@ -1,0 +1,137 @@
+"""Near-duplicate classes by the exact Jaccard similarity of five-word shingle sets, without all pairs.
+
+Candidates come from prefixes. In one order of all shingles, two sets of n and m shingles that are
+alike by t share one among the first n - ceil(t n) + 1 of the one and m - ceil(t m) + 1 of the other.
+Each set is entered under those; no pair is lost, whatever the order. Shingles that are common in a
+sample come last in it, so that entries under one shingle are few; the sample decides costs alone.
+
+A shingle's entries are first held against one of them, then against another; what that links needs
+no more pairs among itself. All pairs of entries that are not linked by then are verified, so large
+groups of near copies cost no square and no link between two classes is lost.
+
+Defined cases: null, empty and blank texts have no shingles and are alike; a text of under five words
+is one shingle; repeated rows and repeated doc_ids are rows of their own.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from flowmill.llm import simhash
+from flowmill.llm.components import components
+from flowmill.llm.minhash import shared_shingler
+from flowmill.llm.shared import materialize, slices, texts_of
+
+AT_LEAST = 0.8
+#: Texts that are looked at for common shingles, and how many of those are told apart.
+SAMPLE, COMMON = 20_000, 200_000
+_NEAR_ZERO = 1e-9
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Each text's distinct shingle hashes, ascending."""
+    out = []
+    for part in slices(texts):
+        hashes, at = shared_shingler().hashes(part)
+        out += [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
+def prefix(shingles: np.ndarray, at_least: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first of the set's shingles in the order of (times in the sample, hash), as many as an alike set must meet."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    seen = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        seen = np.where(common[at] == shingles, times[at], 0)
+    return shingles[np.argsort(seen, kind="stable")[: n - int(np.ceil(at_least * n - _NEAR_ZERO)) + 1]]
+
+
+def _common(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    count = keyed.count()
+    part = keyed.where(F.pmod("text_key", F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE / max(1, count))) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in shingle_sets(texts_of(batch.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["shingle"])
+
+    found = part.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    rows = found.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    common = np.asarray(rows["shingle"].combine_chunks(), np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return common[order], np.asarray(rows["n"].combine_chunks(), np.int64)[order]
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
+    """The pairs u, v whose sets are alike."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    same = F.size(F.array_intersect("a", "b"))
+    return both.where(same / (F.size("a") + F.size("b") - same) >= at_least).select("u", "v")
+
+
+def _links(members: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
+    """Links that connect all alike nodes. `members` has key, node, n (the set's size) and place in its prefix."""
+    sized = (F.col("n") >= F.col("m") * at_least - _NEAR_ZERO) & (F.col("m") >= F.col("n") * at_least - _NEAR_ZERO)
+    # at the first shingle that two sets share, those before it are of one set alone
+    apart = F.col("place") + F.col("at") <= F.col("n") + F.col("m") - 2 * F.ceil((F.col("n") + F.col("m")) * at_least / (1 + at_least) - _NEAR_ZERO)
+    named, links = members.withColumn("component", F.col("node")), None
+    for order in (F.col("node"), F.xxhash64("key", "node")):
+        mixed = named.groupBy("key").agg(F.min_by(F.struct("node", "n", "place", "component"), order).alias("head"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+        asked = named.join(mixed.select("key", "head"), "key").where(F.col("component") != F.col("head.component"))
+        pairs = asked.select(F.col("node").alias("u"), F.col("head.node").alias("v"), "n", "place", F.col("head.n").alias("m"), F.col("head.place").alias("at")).where(sized & apart).select("u", "v").distinct()
+        good = materialize(_alike(pairs, sets, at_least), "alike")
+        links = good if links is None else links.union(good)
+        known = materialize(components(links), "known")
+        named = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    named = materialize(named.join(mixed, "key"), "unlinked")
+    other = named.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component").alias("c"))
+    pairs = named.join(other, "key").where((F.col("node") < F.col("v")) & (F.col("component") != F.col("c")) & sized & apart)
+    return links.union(materialize(_alike(pairs.select(F.col("node").alias("u"), "v").distinct(), sets, at_least), "alike"))
+
+
+def near_duplicates(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
+    """For each row doc_id, text_key, component (its least node) and component_id (the least doc_id
+    reachable over pairs of texts whose Jaccard similarity is `at_least` or more)."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash.text_key(F.col("text")).alias("text_key"), "text")
+    common, times = _common(keyed)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(texts_of(batch.column(2)))
+            node = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
+            first = pa.array([prefix(s, at_least, common, times).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array([len(s) for s in sets], pa.int32()), first], ["doc_id", "text_key", "node", "n", "first"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s.view(np.int64) for s in shingle_sets(texts_of(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    rows = materialize(keyed.mapInArrow(read, "doc_id long, text_key long, node long, n int, first array<long>"), "prefixes")
+    texts = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    entries = materialize(texts.select("node", "n", F.posexplode("first").alias("place", "key")), "entries")
+    twice = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    members = materialize(entries.join(twice, "key"), "members")
+    wanted = rows.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"))
+    wanted = wanted.select("node", F.col("at.doc_id").alias("__doc"), F.col("at.text_key").alias("__key"))
+    found = keyed.join(wanted, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (keyed["text_key"] == F.col("__key"))).select("node", "text")
+    sets = materialize(found.mapInArrow(again, "node long, shingles array<long>"), "sets")  # repeated rows repeat links, which does no harm
+    linked = materialize(components(_links(members, sets, at_least)), "linked")
+    classes = rows.select("doc_id", "text_key", "node").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return classes.join(least, "component").select("doc_id", "text_key", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
+    """The documents with one row of each near-duplicate class, as `simhash.keep_one` chooses it."""
+    return simhash.keep_first(docs, materialize(near_duplicates(docs, at_least), "groups"))

@@ -109,7 +109,11 @@ def hexadecimal(fp: Column) -> Column:
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     """The documents with one row of each near-duplicate group: that of the least doc_id (nulls
     last), then of the least hash of the text. All columns stay."""
-    named = materialize(near_duplicates(docs, words), "groups")
+    return keep_first(docs, materialize(near_duplicates(docs, words), "groups"))
+
+
+def keep_first(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """`keep_one` for groups that are given: `named` has doc_id, text_key and component of each row."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     first = named.groupBy("component").agg(F.min(order).alias("first"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))

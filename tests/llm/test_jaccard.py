@@ -1,0 +1,81 @@
+import random
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from flowmill.llm import jaccard
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(rows, at_least=0.8):
+    """component_id by doc_id, over all pairs."""
+    sets, root = {d: shingles(t) for d, t in rows}, {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] | sets[b])
+            if a < b and (not both or len(sets[a] & sets[b]) / both >= at_least):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in root}
+
+
+def texts(seed):
+    """Chains and stars of edits, short texts, copies and a phrase that many share."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    phrase, out = [word() for _ in range(8)], []
+
+    def edit(words, times):
+        words = list(words)
+        for _ in range(times):
+            words[rng.randrange(len(words))] = word()
+        return words
+
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice([6, 12, 60, 120, 200]))] + phrase * rng.randrange(2)
+        chain = [base]
+        for _ in range(4):
+            chain.append(edit(chain[-1], rng.randrange(1, max(2, len(base) // 40 + 1))))
+        out += chain + [edit(base, max(1, len(base) // 45)) for _ in range(3)]
+    return [" ".join(w) for w in out] + ["", None, " ", "one two", "One TWO", "one"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classes_against_brute_force(spark, seed):
+    rows = list(enumerate(texts(seed)))
+    random.Random(seed).shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert got == want and len(set(want.values())) < len(rows) - 40
+
+
+def test_alike_sets_share_a_shingle_of_their_prefixes():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n, common = int(rng.integers(1, 60)), np.sort(rng.choice(500, 40, False)).astype(np.uint64)
+        a = np.sort(rng.choice(500, n, False)).astype(np.uint64)
+        b = np.unique(np.concatenate([a[rng.random(n) < 0.9], rng.choice(500, int(rng.integers(0, 4)), False).astype(np.uint64)]))
+        if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8:
+            first = [jaccard.prefix(s, 0.8, common, np.arange(40) % 7) for s in (a, b)]
+            assert len(np.intersect1d(*first))
+
+
+def test_pipeline_stage_leaves_one_of_near_copies(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    other = list(base)
+    other[40], other[90] = "changed", "too"  # Jaccard 106 / 126
+    docs = spark.createDataFrame([(1, " ".join(base), "en"), (2, " ".join(other), "en"), (3, "quite another text", "en"), (None, " ".join(other), "en")], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").count() == 0

@@ -2,8 +2,8 @@
 
 A line is compared by its words. Two lines are near if one word changed, added or dropped turns one
 into the other. A line that is near an earlier one goes, as do all later occurrences of a line; earliest
-is by (doc_id, line number), null doc_ids last. Lines of under `LEAST_WORDS` words stay and count for nothing, lines of
-under `NEAR_WORDS` words go only as exact repeats.
+is by (doc_id, line number), null doc_ids last. Lines without words stay and count for nothing; lines of under
+`NEAR_WORDS` words, of which one is over a fifth, go only as exact repeats.
 
 Equal lines are first made one by a 128-bit hash. Near ones meet in a deletion neighbourhood: each
 line emits a hash of its words and of its words without each one in turn. Lines whose hashes without
@@ -35,8 +35,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from flowmill.llm.shared import BoundedMemo, batch_words, materialize, slices, texts_of
 
-LEAST_WORDS = 5
-NEAR_WORDS = 10
+LEAST_WORDS = 1
+NEAR_WORDS = 5
 _RNG = np.random.default_rng(77)
 _BASE = (_RNG.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
 #: Powers of each base, modulo 2^64, for hashes of word sequences; long lines take them anew.

@@ -102,3 +102,11 @@ def test_query(spark, sf_dir):
                 assert len(words) < 5 or words not in seen
                 seen.add(words)
         assert r["text"] == "\n".join(x for i, x in enumerate(lines) if i not in r["removed_lines"])
+
+
+def test_short_lines(spark):
+    nine = "one two three four five six seven eight nine"
+    docs = [(1, f"Word\n \na b c d\n{nine}\nk l m n o"), (2, f"Word\n \n a  b c d\nword\n{nine} ten\nk l m n x\nk l m n\na b c x"), (3, "Word")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: [], 2: [0, 2, 4, 5], 3: [0]}

@@ -1,12 +1,11 @@
-"""MinHash fingerprints of word shingles: signatures in numpy, bands joined in Spark, Jaccard verified.
+"""MinHash fingerprints of word shingles: signatures in numpy; near-duplicate classes by true Jaccard.
 
 A signature holds, for each of `PERMUTATIONS` universal hashes a * x + b (mod 2^64, a odd), the least
 value over a text's shingles of five lower-cased words; shorter texts are one shingle, texts without
 words have none. A fingerprint keeps 8 bits of each minimum; equal bits by chance are allowed for in
 the likeness of two fingerprints.
 
-Near duplicates: texts with equal signatures count once; bands of the signatures are grouped, each
-band's texts are paired with its least one, and the pairs' true Jaccard similarity is verified.
+Near duplicates: `similar` joins shingle sets exactly, without bands, so that no pair is left to chance.
 
 Defined cases: null texts are empty; empty and blank texts share a fingerprint and have likeness 1
 to each other; repeated rows are rows of their own; rows with equal doc_ids follow in the order of
@@ -25,8 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.llm.components import components
-from flowmill.llm.shared import BoundedMemo, batch_words, key_bounds, materialize, partitions, range_bucket, slices, texts_of
+from flowmill.llm.shared import BoundedMemo, batch_words, key_bounds, partitions, range_bucket, slices
 
 PERMUTATIONS = 128
 WORDS = 5
@@ -188,49 +186,9 @@ def judged(shingler: Shingler, pairs: list[tuple[int | None, str, str]]) -> pa.R
     return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCHEMA.split(", ")])
 
 
-def similar(docs: DataFrame, at_least: float = 0.8, band_rows: int = 8) -> DataFrame:
+def similar(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     """Near-duplicate classes: doc_id and component_id (the least doc_id reachable), for texts whose
-    shingle sets have a verified Jaccard similarity of `at_least` or more.
+    shingle sets have a Jaccard similarity of `at_least` or more. Exact: see `jaccard`."""
+    from flowmill.llm import jaccard  # which takes this module's shingles
 
-    16 bands of 8 rows find a pair at 0.8 with a chance of 95 % and surer above. Within a band a text
-    is verified against the band's least text; texts that fail against it are verified against the
-    least of those that fail, and so on, until each has a class or is alone.
-    """
-    bands = PERMUTATIONS // band_rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = shared_shingler()
-        for batch in batches:
-            texts = texts_of(batch.column(1))
-            signed, (hashes, at) = shingler.signatures(texts), shingler.hashes(texts)
-            keys = [[xxhash.xxh3_64_intdigest(bytes([b]) + row[b * band_rows : (b + 1) * band_rows].tobytes()) - (1 << 63) for b in range(bands)] for row in signed]
-            sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
-            whole = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "node", "keys", "shingles"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, keys array<long>, shingles array<long>")
-    rows = materialize(rows, "signed")
-    texts = materialize(rows.groupBy("node").agg(F.first("keys").alias("keys"), F.first("shingles").alias("shingles")), "texts")
-    sets = texts.select("node", "shingles")
-    members = materialize(texts.select("node", F.explode("keys").alias("key")), "bands")
-    links = None
-    while True:
-        heads = members.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-        asked = members.join(heads, "key").where("node <> head")
-        pairs = asked.select("node", "head").distinct()
-        both = pairs.join(sets.withColumnRenamed("shingles", "a"), "node").join(sets.select(F.col("node").alias("head"), F.col("shingles").alias("b")), "head")
-        common = F.size(F.array_intersect("a", "b"))
-        alike = F.when(F.size("a") + F.size("b") == 0, F.lit(1.0)).otherwise(common / (F.size("a") + F.size("b") - common))
-        good = materialize(both.where(alike >= at_least).select("node", "head"), "alike")
-        if good.isEmpty() and pairs.isEmpty():
-            break
-        found = good.select(F.col("node").alias("u"), F.col("head").alias("v"))
-        links = found if links is None else links.union(found)
-        members = materialize(asked.join(good, ["node", "head"], "left_anti").select("node", "key"), "bands")
-    ids = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    if links is None:
-        named = ids.select("node", F.col("least").alias("component_id"))
-    else:
-        classes = ids.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = classes.join(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    return jaccard.near_duplicates(docs, at_least).select("doc_id", "component_id")

@@ -73,3 +73,18 @@ def test_similar(spark):
     want = {i: i % 12 for i in range(36)} | {i: i for i in range(36, 48)} | {48: 48, 49: 48}
     assert got == want
     assert minhash.similar(docs.limit(0)).count() == 0
+
+
+def test_similar_chains_and_stars(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(100)]
+        one, two = list(base), list(base)
+        one[30], two[70] = word(), word()
+        one[50], two[90] = word(), word()
+        texts += [" ".join(x) for x in (one, base, two)]  # the outer ones are not alike
+    assert all(jaccard(a, b) >= 0.8 > jaccard(a, c) for a, b, c in zip(texts[::3], texts[1::3], texts[2::3], strict=True))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i // 3 * 3 for i in range(120)}

@@ -180,6 +180,21 @@ add("write_fitting_columns", lambda spark, sf: merge.fitting(read(spark, sf, "cu
 add("last_write_wins", lambda spark, sf: merge.latest(read(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id"), "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 add("verify_diff", lambda spark, sf: merge.difference(_halves(spark, sf)[0], _halves(spark, sf)[1], ["c_custkey"]), f"WITH {_HALVES} SELECT coalesce(old.c_custkey, new.c_custkey) AS c_custkey, CASE WHEN new.c_custkey IS NULL THEN 'missing' WHEN old.c_custkey IS NULL THEN 'extra' ELSE 'changed' END AS status FROM old FULL JOIN new ON old.c_custkey = new.c_custkey WHERE old.c_custkey IS NULL OR new.c_custkey IS NULL OR old.c_name <> new.c_name")
 
+
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All customers but for a segment on either side; another segment has changed."""
+    c = read(spark, sf, "customer")
+    changed = F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("new")).otherwise(F.col("c_name"))
+    old, new = c.where("c_mktsegment <> 'BUILDING'"), c.where("c_mktsegment <> 'MACHINERY'")
+    return old.select("c_custkey", "c_name", "c_acctbal"), new.select("c_custkey", changed.alias("c_name"), "c_acctbal")
+
+
+_SIDES = "old AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'), new AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'new' ELSE c_name END AS c_name, c_acctbal FROM customer WHERE c_mktsegment <> 'MACHINERY')"
+add("upsert_update_whole", lambda spark, sf: merge.upsert(*_sides(spark, sf), ["c_custkey"]), ORACLE_SQL["upsert_update"].replace(_HALVES, _SIDES))
+add("upsert_ignore_whole", lambda spark, sf: merge.upsert(*_sides(spark, sf), ["c_custkey"], "do_nothing"), ORACLE_SQL["upsert_ignore"].replace(_HALVES, _SIDES))
+add("append_without_key_whole", lambda spark, sf: merge.upsert(*_sides(spark, sf), []), ORACLE_SQL["append_without_key"].replace(_HALVES, _SIDES))
+add("verify_diff_whole", lambda spark, sf: merge.difference(*_sides(spark, sf), ["c_custkey"]), ORACLE_SQL["verify_diff"].replace(_HALVES, _SIDES))
+
 # -- pages
 
 add("offset_page", lambda spark, sf: pages.offset_page(read(spark, sf, "orders"), ["o_orderkey"], 100, 250), "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 250")
@@ -228,9 +243,9 @@ def _fan_out(spark: SparkSession, sf: str) -> DataFrame:
 add("fanout_tables", _fan_out, "SELECT 'all:region' AS pipeline, 'regions' AS \"table\", 2 AS columns, count(*) AS n FROM region UNION ALL SELECT 'all:nation', 'nation', 2, count(*) FROM nation UNION ALL SELECT 'all:supplier', 'supplier', 4, count(*) FROM supplier")
 
 
-def _family(options: str, table: str | None = None) -> Query:
+def _family(options: str, table: str | None = None, root: str = "orders.o_orderkey < 40") -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        text = document(sf, 'where { orders.o_orderkey < 40 }').replace('table = "orders" }', f'table = "orders" with references {{ {options} }} }}')
+        text = document(sf, f"where {{ {root} }}").replace('table = "orders" }', f'table = "orders" with references {{ {options} }} }}')
         family = {("orders" if t == "q_out" else t): o.ok for t, o in planned(spark, text).family("q").items()}
         if table:
             return family[table]
@@ -251,6 +266,9 @@ add("cascade_part", _family('data = "cascade"', "part"), f"WITH {_CASCADE} SELEC
 add("cascade_depth", _family('data = "cascade" depth = 1'), _counts(("orders", "o"), ("lineitem", "l"), ("customer", "c")))
 add("cascade_exclude", _family('data = "cascade" exclude = ["line*", "region"]'), "WITH o AS (SELECT * FROM orders WHERE o_orderkey < 40), c AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o)), n AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c)), s AS (SELECT * FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM n)) SELECT 'orders' AS \"table\", count(*) AS n FROM o UNION ALL SELECT 'customer', count(*) FROM c UNION ALL SELECT 'nation', count(*) FROM n UNION ALL SELECT 'supplier', count(*) FROM s")
 add("cascade_schema_only", _family('data = "schema_only" depth = 1'), "SELECT 'orders' AS \"table\", count(*) AS n FROM orders WHERE o_orderkey < 40 UNION ALL SELECT 'lineitem', 0 UNION ALL SELECT 'customer', 0")
+_FINISHED = 'orders.o_orderstatus == "F"'
+for _name, _options, _table in (("lineitem", 'data = "cascade"', "lineitem"), ("part", 'data = "cascade"', "part"), ("depth", 'data = "cascade" depth = 1', None), ("exclude", 'data = "cascade" exclude = ["line*", "region"]', None), ("schema_only", 'data = "schema_only" depth = 1', None)):
+    add(f"cascade_{_name}_whole", _family(_options, _table, _FINISHED), ORACLE_SQL[f"cascade_{_name}"].replace("o_orderkey < 40", "o_orderstatus = 'F'"))
 add("table_write_order", lambda spark, sf: spark.createDataFrame([(i, t) for i, t in enumerate(cascade.write_order(cascade.reachable("orders", CATALOG), CATALOG))], "place int, name string"))
 
 # -- reports, integrity, plugins

@@ -20,3 +20,10 @@ def test_query_matches_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_query_without_sql_has_rows(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_whole_table_queries_reach_whole_tables(spark):
+    customers = queries.read(spark, SF, "customer")
+    assert queries.QUERIES["upsert_update_whole"](spark, SF).count() == customers.count()
+    changed = customers.where("c_mktsegment in ('BUILDING', 'MACHINERY', 'AUTOMOBILE')").count()
+    assert queries.QUERIES["verify_diff_whole"](spark, SF).count() == changed

@@ -15,7 +15,6 @@ from flowmill.plans.builder import Plan, Step
 from flowmill.sources import sinks
 from flowmill.sources.registry import TableInfo
 
-CHECK_SAMPLE = 10_000
 #: Rows a second by driver to begin with, and what joins and computed columns leave of that.
 RATES = {"postgres": 100_000, "mysql": 75_000}
 OTHER_RATE = 10_000
@@ -57,10 +56,11 @@ def selectivity(plan: Plan, step: Step) -> DataFrame:
     return counts.withColumn("selectivity", F.when(F.col("total_rows") > 0, F.col("filtered_rows") / F.col("total_rows")).otherwise(F.lit(1.0)))
 
 
-def check_rates(plan: Plan, step: Step, sample: int = CHECK_SAMPLE) -> DataFrame:
-    """For each check the sampled rows that fail it, taken alone: check, failed, sampled. Filters don't count."""
+def check_rates(plan: Plan, step: Step, sample: int | None = None) -> DataFrame:
+    """For each check the rows (of `sample` at most, if given) that fail it, taken alone: check, failed, sampled. Filters don't count."""
     flow = plan.flow(step)
-    frame = flow.joined(step.source.read(step.table), step.source.read).limit(sample)
+    frame = flow.joined(step.source.read(step.table), step.source.read)
+    frame = frame if sample is None else frame.limit(sample)
     known, outputs = flow._known(frame), {}
     for name, e in flow.select or []:
         outputs[name.lower()] = flow.compiler(known, outputs, Mode.ROW).compile(e)

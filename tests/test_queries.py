@@ -1,5 +1,6 @@
 import pytest
 from flowmill import queries
+from flowmill.plans import report
 
 from tests import oracle
 
@@ -27,3 +28,9 @@ def test_whole_table_queries_reach_whole_tables(spark):
     assert queries.QUERIES["upsert_update_whole"](spark, SF).count() == customers.count()
     changed = customers.where("c_mktsegment in ('BUILDING', 'MACHINERY', 'AUTOMOBILE')").count()
     assert queries.QUERIES["verify_diff_whole"](spark, SF).count() == changed
+
+
+def test_plan_report_counts_all_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    plan = queries.planned(spark, queries.document(sf, queries._RATES))
+    assert all(r["sampled"] == queries.read(spark, sf, "orders").count() for r in report.build(plan)["pipelines"]["q"]["checks"])

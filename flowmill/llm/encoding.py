@@ -8,6 +8,7 @@ own pattern cuts them, and letter words are encoded many at a time.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 
 import numpy as np
@@ -20,6 +21,9 @@ MARKS = ".,!?;:"
 #: Letters that stay one letter when the tokenizer normalizes them; after others a closing mark may join what they leave.
 PLAIN = r"^[A-Za-z\x{C0}-\x{12F}\x{131}-\x{24F}\x{400}-\x{45F}]+$"
 LONG = 64
+#: How the tokenizer's pieces say that they end a word, and how many words are encoded as one text.
+WORD_END = "</w>"
+RUN = 256
 MOST_KEYS = 800_000
 
 
@@ -36,6 +40,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(pieces.values()) + 1, bool)
+        self.ends_word[[i for piece, i in pieces.items() if piece.endswith(WORD_END)]] = True
         self.known: dict[str, int] = {}
         self._empty()
 
@@ -57,17 +64,18 @@ class WordEncoder:
         self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
 
     def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([i for one in ids for i in one], np.uint32), np.array([len(one) for one in ids], np.int64)
 
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and their counts, of letter words, encoded as one text and cut at the tokenizer's own word numbers."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        of = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
-        counts = np.bincount(of[of >= 0], minlength=len(words))
-        if len(counts) != len(words) or (of < 0).any() or (counts == 0).any():
+        """Ids, and their counts, of letter words, encoded many to a text and cut behind ids that end a word."""
+        runs = [" ".join(words[i : i + RUN]) for i in range(0, len(words), RUN)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        last = np.flatnonzero(self.ends_word[flat])
+        if len(last) != len(words) or last[-1] + 1 != len(flat):
             return self._alone(words)
-        return np.array(found.ids, np.uint32), counts
+        return flat, np.diff(last, prepend=-1)
 
     def _numbers(self, keys: list[str]) -> np.ndarray:
         """Each distinct key's number, after encoding those that are new."""
@@ -75,8 +83,8 @@ class WordEncoder:
             self._empty()
         new = [k for k in keys if k not in self.known]
         letters = [k for k in new if k.isalpha()]
-        for i in range(0, len(letters), 2000):
-            self._keep(letters[i : i + 2000], *self._together(letters[i : i + 2000]))
+        for i in range(0, len(letters), 64 * RUN):
+            self._keep(letters[i : i + 64 * RUN], *self._together(letters[i : i + 64 * RUN]))
         others = [k for k in new if not k.isalpha()]
         self._keep(others, *self._alone(others))
         return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
@@ -100,14 +108,14 @@ class WordEncoder:
         pair = np.stack([number, mark], axis=1).ravel()
         heads = np.where(pair > 0, self.ends[pair - 1], 0)
         lengths = self.ends[pair] - heads
-        once = self.store[ragged(heads, lengths)]
-        sizes = lengths.reshape(-1, 2).sum(axis=1)
+        # each distinct word's ids, and as one word more the end id, which closes every text
+        once = np.append(self.store[ragged(heads, lengths)], np.uint32(self.end_id))
+        sizes = np.append(lengths.reshape(-1, 2).sum(axis=1), 1)
         starts = np.cumsum(sizes) - sizes
-        flat = once[ragged(starts[index], sizes[index])]
-        upto = np.concatenate([[0], np.cumsum(sizes[index])])[begin]
-        out = np.full(len(flat) + len(texts), self.end_id, np.uint32)
-        out[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), np.diff(upto))] = flat
-        return out, upto + np.arange(len(upto))
+        closed = np.insert(index, begin[1:], len(words))
+        taken = sizes[closed]
+        upto = np.concatenate([[0], np.cumsum(taken)])[begin + np.arange(len(begin))]
+        return once[ragged(starts[closed], taken)], upto
 
 
 @functools.lru_cache(maxsize=2)

@@ -20,45 +20,71 @@ WIDTHS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64
 LAST = len(COUNTS) - 1
 
 
+def _classes(values: np.ndarray) -> np.ndarray:
+    """For each value how many of the packings from selector 1 on are too narrow for it."""
+    wide = np.zeros(len(values), np.uint8)
+    for width in WIDTHS[1:]:
+        wide += values >> values.dtype.type(width) != 0
+    return wide
+
+
+#: Classes of all 16-bit values, which most ids are.
+_SMALL = _classes(np.arange(1 << 16, dtype=np.uint64))
+
+
+def _grid(values: np.ndarray, blocks: int) -> np.ndarray:
+    """The values with a row for each block and zeros behind it, as many as a word may pack."""
+    grid = np.zeros((blocks, BLOCK + 60), values.dtype)
+    full = len(values) // BLOCK
+    grid[:full, :BLOCK] = values[: full * BLOCK].reshape(full, BLOCK)
+    grid[full:, : len(values) - full * BLOCK] = values[full * BLOCK :]
+    return grid
+
+
+def _selectors(values: np.ndarray, blocks: int) -> np.ndarray:
+    """The densest selector for a word that begins at each place of the grid, flat."""
+    small = not (values >> np.uint64(16)).any()
+    most = _grid(_SMALL[values.astype(np.uint16)] if small else _classes(values), blocks).ravel()
+    fitting, held = np.zeros(len(most), np.uint8), 1
+    for s in range(LAST, 0, -1):
+        step = int(COUNTS[s]) - held
+        if step:  # the widest class among as many values as the selector packs, from that among fewer
+            np.maximum(most[:-step], most[step:], out=most[:-step])
+            held += step
+        fitting += most < s
+    # a packing that fits has all wider ones fit, so their number tells the densest; none is the escape
+    return np.where(fitting > 0, LAST + 1 - fitting, 0)
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, the number of words before each block (and in all), and the raw values."""
     values = np.ascontiguousarray(values, np.uint64)
     blocks = -(-len(values) // BLOCK)
     if not blocks:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64), values
-    grid = np.zeros((blocks, BLOCK + 60), np.uint64)
-    grid[:, :BLOCK].flat[: len(values)] = values
-    size = np.full(blocks, BLOCK)
-    size[-1] = len(values) - BLOCK * (blocks - 1)
-    left = np.maximum(size[:, None] - np.arange(BLOCK), 0)
-    best = np.zeros((blocks, BLOCK), np.int8)
-    columns = np.arange(BLOCK)
-    for s in range(LAST, 0, -1):
-        wide = grid[:, :BLOCK] >> np.uint64(WIDTHS[s]) != 0
-        if s > 1 and wide.all():
-            break
-        stop = np.minimum.accumulate(np.where(wide, columns, BLOCK)[:, ::-1], axis=1)[:, ::-1]
-        best[(stop - columns >= np.minimum(COUNTS[s], left)) & (left > 0)] = s
-    escaped = grid[:, :BLOCK] >> np.uint64(60) != 0
-    at, rows, picked = np.zeros(blocks, np.int64), np.arange(blocks), []
-    while len(rows):
-        s = best[rows, at[rows]]
-        picked.append((rows, at[rows], s))
-        at[rows] += COUNTS[s]
-        rows = rows[at[rows] < size[rows]]
-    row, column, chosen = (np.concatenate(x) for x in zip(*picked, strict=True))
-    order = np.lexsort((column, row))
-    row, column, chosen = row[order], column[order], chosen[order]
+    best, grid, stride = _selectors(values, blocks), _grid(values, blocks).ravel(), BLOCK + 60
+    at = np.arange(blocks) * stride
+    end = at + BLOCK
+    end[-1] = at[-1] + len(values) - BLOCK * (blocks - 1)
+    begins = np.zeros(len(best), bool)
+    while len(at):
+        begins[at] = True
+        at = at + COUNTS[best[at]]
+        going = at < end
+        at, end = at[going], end[going]
+    at = np.flatnonzero(begins)
+    chosen = best[at]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    raw = grid[:, :BLOCK][escaped]
-    words[chosen == 0] |= np.arange(len(raw), dtype=np.uint64)
-    for s in np.unique(chosen[chosen > 0]):
+    escaped = chosen == 0
+    raw = grid[at[escaped]]
+    words[escaped] = np.arange(len(raw), dtype=np.uint64)
+    for s in np.unique(chosen[~escaped]).tolist():
         here = np.flatnonzero(chosen == s)
+        first, packed = at[here], words[here]
         for j in range(COUNTS[s]):
-            c = column[here] + j
-            v = np.where(c < size[row[here]], grid[row[here], c], np.uint64(0))
-            words[here] |= v << np.uint64(WIDTHS[s] * j)
-    return words, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=blocks))]), raw
+            packed |= grid[first + j] << np.uint64(WIDTHS[s] * j)
+        words[here] = packed
+    return words, np.concatenate([[0], np.cumsum(np.bincount(at // stride, minlength=blocks))]), raw
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, raw: np.ndarray, n: int) -> np.ndarray:

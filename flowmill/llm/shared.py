@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -48,6 +49,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, n: int = 1, *more: DataFrame) -> list[str]:
+    """Column names that none of the frames has, whatever the case of letters."""
+    have = {c.lower() for one in (df, *more) for c in one.columns}
+    names = (f"_{i}" for i in itertools.count())
+    return list(itertools.islice((x for x in names if x not in have), n))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -2,8 +2,10 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
-from flowmill.llm import jaccard
+import xxhash
+from flowmill.llm import minhash, simhash
 
 
 def shingles(text):
@@ -50,24 +52,57 @@ def texts(seed):
     return [" ".join(w) for w in out] + ["", None, " ", "one two", "One TWO", "one"]
 
 
+def classed(found):
+    return {r["doc_id"]: r["component_id"] for r in found.collect()}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_classes_against_brute_force(spark, seed):
+def test_bands_find_all_that_brute_force_finds(spark, seed):
     rows = list(enumerate(texts(seed)))
     random.Random(seed).shuffle(rows)
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute(rows)
-    assert got == want and len(set(want.values())) < len(rows) - 40
-
-
-def test_alike_sets_share_a_shingle_of_their_prefixes():
-    rng = np.random.default_rng(5)
-    for _ in range(300):
-        n, common = int(rng.integers(1, 60)), np.sort(rng.choice(500, 40, False)).astype(np.uint64)
-        a = np.sort(rng.choice(500, n, False)).astype(np.uint64)
-        b = np.unique(np.concatenate([a[rng.random(n) < 0.9], rng.choice(500, int(rng.integers(0, 4)), False).astype(np.uint64)]))
-        if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8:
-            first = [jaccard.prefix(s, 0.8, common, np.arange(40) % 7) for s in (a, b)]
-            assert len(np.intersect1d(*first))
+    assert classed(minhash.similar(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert len(set(want.values())) < len(rows) - 40
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_fingerprints_of_words_find_nearly_all(spark, seed):
+    rows = list(enumerate(texts(seed)))
+    got, want = classed(simhash.near_texts(spark.createDataFrame(rows, "doc_id long, text string"))), brute(rows)
+    joined = [d for d in want if want[d] != d]
+    assert sum(got[d] == want[d] for d in joined) >= 0.9 * len(joined)
+    assert all(want[d] == want[got[d]] for d in got)  # and nothing else
+
+
+def test_large_group_is_not_expanded(spark):
+    """A star of near copies, of which few are alike among themselves, and a phrase that all share."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+
+    def copy():
+        words = list(base)
+        for place in rng.sample(range(0, 150, 6), 3):
+            words[place] = word()
+        return " ".join(words)
+
+    rows = [(i, copy()) for i in range(1, 120)] + [(500, " ".join(base))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert classed(minhash.similar(docs)) == brute(rows)
+    assert classed(simhash.near_texts(docs)) == brute(rows)
+
+
+def test_word_prints():
+    lines = pa.array(["", " ", "a b c a", "c b A", "x " * 70_000, "y" * 300_000, " ".join(map(str, range(70_000)))], pa.large_string())
+    got = simhash.word_prints(lines)
+    assert got.shape == (7, simhash.SEGMENTS) and not got[:2].any() and (got[2] == got[3]).all() and got.max() < 1 << simhash.WIDTH
+    for row, words in zip(got[2:], [["a", "b", "c"], ["a", "b", "c"], ["x"], ["y" * 300_000], list(map(str, range(70_000)))], strict=True):
+        votes = np.zeros(256, int)
+        for w in words:
+            raw = xxhash.xxh3_128_digest(w, 0) + xxhash.xxh3_128_digest(w, 1)
+            votes += np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
+        bits = np.packbits(votes * 2 > len(words), bitorder="little").view("<u4")
+        assert (row == bits & ((1 << simhash.WIDTH) - 1)).all()
 
 
 def test_pipeline_stage_leaves_one_of_near_copies(spark):

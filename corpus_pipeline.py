@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowmill.llm import jaccard, line_dedup, mixing, packing, quality
+from flowmill.llm import line_dedup, mixing, packing, quality, simhash
 from flowmill.llm.registry import WORD_BPE, table, vocabulary
 from flowmill.llm.shared import materialize
 
@@ -26,12 +26,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, Jaccard 0.8 or more.
-
-    op10's 2 bits find few such pairs, and a 64-bit fingerprint's radius for all of them is too wide
-    to look up; so candidates come from an exact join, which finds what any radius would and the rest.
-    """
-    return jaccard.keep_one(docs)
+    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8 or more."""
+    return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

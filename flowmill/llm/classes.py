@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.llm.components import components
-from flowmill.llm.minhash import shared_shingler
+from flowmill.llm.minhash import Shingler
 from flowmill.llm.shared import materialize, slices, texts_of
 
 AT_LEAST = 0.8
@@ -39,7 +39,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, ascending."""
     out = []
     for part in slices(texts):
-        hashes, at = shared_shingler().hashes(part)
+        hashes, at = Shingler().hashes(part)
         out += [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
     return out
 

@@ -2,8 +2,10 @@
 
 A line is compared by its words. Two lines are near if one word changed, added or dropped turns one
 into the other. A line that is near an earlier one goes, as do all later occurrences of a line; earliest
-is by (doc_id, line number), null doc_ids last. Lines without words stay and count for nothing; lines of under
-`NEAR_WORDS` words, of which one is over a fifth, go only as exact repeats.
+is by (doc_id, line number), null doc_ids last. Lines without words stay and count for nothing. The edit
+bound is one word; it is near from `near_words` words on (by default 5, where one word is a fifth), and
+shorter lines go as exact repeats alone. The unit is the word: by characters a line has as many keys as
+characters, and by two words half the square of its words.
 
 Equal lines are first made one by a 128-bit hash. Near ones meet in a deletion neighbourhood: each
 line emits a hash of its words and of its words without each one in turn. Lines whose hashes without
@@ -18,7 +20,8 @@ This leaves out no pair.
 
 Defined cases: null and empty texts have no lines to remove; repeated rows count as one document if
 doc_id and text are equal, and its lines stay in all of them; rows with equal doc_ids and other texts
-are ordered by a hash of their texts; an empty table gives no rows; other columns pass through.
+are ordered by a hash of their texts; of equal lines in one document the first stays; very long texts
+and lines are read whole; an empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,14 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from flowmill.llm.shared import BoundedMemo, batch_words, materialize, slices, texts_of
+from flowmill.llm.shared import batch_words, materialize, slices, texts_of, unused, word_codes
 
-LEAST_WORDS = 1
+#: The fewest words of a line that may go as a near one: one word in five leaves a similarity of 0.8.
 NEAR_WORDS = 5
 _RNG = np.random.default_rng(77)
 _BASE = (_RNG.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
@@ -58,22 +60,12 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_MEMO: BoundedMemo = BoundedMemo(500_000)
-
-
 def word_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the lines, and where each line's begin, with an end."""
     begin, index, found = batch_words(lines)
-    _MEMO.trim()
-    once = np.zeros(len(found), np.uint64)
-    for i, w in enumerate(found.to_pylist()):
-        h = _MEMO.get(w)
-        if h is None:
-            h = _MEMO[w] = xxhash.xxh3_64_intdigest(w) if w else 0
-        once[i] = h
-    words = once[index]
-    real = np.asarray(pc.binary_length(found), np.int64)[index] > 0 if len(index) else np.zeros(0, bool)
-    return words[real], np.concatenate([[0], np.cumsum(real)])[begin]
+    once, size = word_codes(found)
+    real = (size > 0)[index]
+    return once[index][real], np.concatenate([[0], np.cumsum(real)])[begin]
 
 
 def _prefixes(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -109,14 +101,20 @@ def _inverse(power: np.ndarray, at: np.ndarray) -> np.ndarray:
     return x
 
 
-def variants(words: np.ndarray) -> np.ndarray:
-    """Hash of the words without each one in turn (by place), then of all."""
-    n = len(words)
-    power = _powers(n + 1)[0]
-    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n])])
-    after = before[n] - before[1:]
-    without = before[:n] + after * _inverse(_powers(n + 1), np.ones(1, np.int64))[0]
-    return _stir(np.concatenate([without + np.uint64(n - 1), before[n:] + np.uint64(n)]))
+def variants(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the hash of its words without each one in turn (by place), then of all; and where
+    each line's begin, with an end."""
+    n = np.diff(begin)
+    sums = _prefixes(words, begin)[0]
+    line = np.repeat(np.arange(len(n)), n)
+    first, last, at = begin[:-1][line], begin[1:][line], np.arange(len(words))
+    step = _inverse(_powers(2), np.ones(1, np.int64))[0]
+    without = sums[at] - sums[first] + (sums[last] - sums[at + 1]) * step + (n[line] - 1).astype(np.uint64)
+    ends = begin + np.arange(len(begin))
+    out = np.zeros(len(words) + len(n), np.uint64)
+    out[at + line] = without
+    out[ends[1:] - 1] = sums[begin[1:]] - sums[begin[:-1]] + n.astype(np.uint64)
+    return _stir(out), ends
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -136,7 +134,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def read_lines(docs: DataFrame) -> DataFrame:
+def read_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """One row for each line that counts: where it is, its hash, and its halves' keys if it may be near others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +148,8 @@ def read_lines(docs: DataFrame) -> DataFrame:
                 words, begin = word_hashes(split.flatten())
                 n = np.diff(begin)
                 whole, keys = line_keys(words, begin)
-                take = np.flatnonzero(n >= LEAST_WORDS)
-                near = n[take] >= NEAR_WORDS
+                take = np.flatnonzero(n > 0)
+                near = n[take] >= near_words
                 flat = keys[:, take[near]].T.ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(near, 4, 0))]), pa.int32()), _signed(np.ascontiguousarray(flat)))
                 rows = pa.array(owner[take] + at)
@@ -168,9 +166,10 @@ def text_key(text: Column) -> Column:
 
 def _joined(docs: DataFrame, marked: DataFrame, how: str) -> DataFrame:
     """`docs` with what `marked` (doc_id, text_key, ...) says of each."""
-    m = marked.withColumnRenamed("doc_id", "__doc").withColumnRenamed("text_key", "__key")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")) & (text_key(docs["text"]) == F.col("__key"))
-    return docs.join(m, same, how).drop("__doc", "__key")
+    doc, key = unused(docs, 2, marked)
+    m = marked.withColumnRenamed("doc_id", doc).withColumnRenamed("text_key", key)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (text_key(docs["text"]) == F.col(key))
+    return docs.join(m, same, how).drop(doc, key)
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -194,16 +193,16 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns: list[list] = [[], [], [], [], [], []]
             for doc, text, key, asked_lines in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "text_key", "asked")], strict=True):
                 lines = text.split("\n")
-                picked = [lines[a["line"]] for a in asked_lines]
-                words, begin = word_hashes(pa.array(picked, pa.large_string()))
-                places = [variants(words[a:b]).view(np.int64) for a, b in zip(begin[:-1], begin[1:], strict=True)]
-                normal = [" ".join(pc.ascii_split_whitespace(pa.scalar(x)).as_py()) for x in picked]
-                n = len(picked)
-                columns = [[a["h1"] for a in asked_lines], [a["h2"] for a in asked_lines], [doc] * n, [key] * n, [a["line"] for a in asked_lines], normal, places]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
+                for a in asked_lines:
+                    normal = b" ".join(lines[a["line"]].encode().split()).decode()  # bytes: ASCII white space alone
+                    for column, value in zip(columns, (a["h1"], a["h2"], doc, key, a["line"], normal), strict=True):
+                        column.append(value)
+            places, ends = variants(*word_hashes(pa.array(columns[5], pa.large_string())))
+            arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(places))], [f.split()[0] for f in schema.split(", ")])
 
     sent = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"), "asked")
     candidates = materialize(sent.mapInArrow(run, schema).dropDuplicates(["h1", "h2"]).withColumn("first", F.expr(ORDER)).drop("doc_id", "text_key", "line"), "near_lines")
@@ -233,9 +232,9 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("h1", "h2", "words", "other").mapInArrow(verify, "h1 long, h2 long").distinct()
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """doc_id, text_key and the numbers of the lines that go, for documents that lose any."""
-    lines = materialize(read_lines(docs), "lines")
+    lines = materialize(read_lines(docs, near_words), "lines")
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.expr(ORDER)).alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"))
     distinct = materialize(distinct, "distinct_lines")
     near = near_lines(distinct.select("h1", "h2", "first", "keys"), docs).withColumn("near", F.lit(True))
@@ -245,18 +244,25 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents with `text` without its repeated lines, and the array `removed_lines`."""
-    marked = _joined(docs, materialize(repeated_lines(docs), "removed"), "left")
-    place = F.col("removed_lines")
+def _marked(docs: DataFrame, near_words: int, name: str) -> DataFrame:
+    """The documents with `text` without its repeated lines, and their numbers (or null) in column `name`."""
+    gone = materialize(repeated_lines(docs, near_words), "removed").withColumnRenamed("removed_lines", name)
+    place = F.col(name)
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(place, i)), "\n")
-    few = F.coalesce(place, F.array().cast(ArrayType(IntegerType())))
-    return marked.withColumn("text", F.when(place.isNull(), F.col("text")).otherwise(kept)).withColumn("removed_lines", few)
+    return _joined(docs, gone, "left").withColumn("text", F.when(place.isNull(), F.col("text")).otherwise(kept))
+
+
+def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """The documents with `text` without its repeated lines, and the array `removed_lines` (which takes
+    the place of a column of that name). Near lines of under `near_words` words stay."""
+    docs = docs.drop("removed_lines")
+    return _marked(docs, near_words, "removed_lines").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast(ArrayType(IntegerType()))))
 
 
-def keep_first_lines(docs: DataFrame) -> DataFrame:
+def keep_first_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """`dedup_lines` for a pipeline: the columns of `docs`, without documents of which no line is left."""
-    out = dedup_lines(docs)
+    (name,) = unused(docs)
+    out, lost = _marked(docs, near_words, name), F.col(name).isNotNull()
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.where((F.size("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(lost, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.where(~lost | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*[F.col(f"`{c}`") for c in docs.columns])

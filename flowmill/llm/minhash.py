@@ -14,17 +14,16 @@ their texts; null doc_ids come first; an empty table gives no rows; other column
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.llm.shared import BoundedMemo, batch_words, key_bounds, materialize, partitions, range_bucket, slices, texts_of
+from flowmill.llm.shared import batch_words, key_bounds, materialize, partitions, range_bucket, slices, texts_of, word_codes
 
 PERMUTATIONS = 128
 WORDS = 5
@@ -46,21 +45,11 @@ def _stir(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes of the shingles of a batch of texts."""
 
-    def __init__(self) -> None:
-        self.memo: BoundedMemo = BoundedMemo(500_000)
-
     def hashes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All shingle hashes, and where each text's begin, with an end."""
         begin, index, found = batch_words(texts)
-        words = found.to_pylist()
-        self.memo.trim()
-        once = np.zeros(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = self.memo.get(w)
-            if h is None:
-                h = self.memo[w] = xxhash.xxh3_64_intdigest(w.lower()) if w else 0
-            once[i] = h
-        real = np.array([bool(w) for w in words], bool)[index] if len(words) else np.zeros(0, bool)
+        once, long = word_codes(pc.utf8_lower(found))
+        real = (long > 0)[index]
         begin = np.concatenate([[0], np.cumsum(real)])[begin]
         word = once[index][real]
         sizes = np.diff(begin)
@@ -102,12 +91,6 @@ class Shingler:
         return out
 
 
-@functools.lru_cache(maxsize=1)
-def shared_shingler() -> Shingler:
-    """A process has one, so that its tasks share what it knows."""
-    return Shingler()
-
-
 def short_print(signatures: np.ndarray) -> np.ndarray:
     """8 bits of each minimum."""
     return (signatures >> np.uint64(48)).astype(np.uint8)
@@ -153,7 +136,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     ordered = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = shared_shingler()
+        shingler = Shingler()
         waiting: tuple | None = None
         for batch in batches:
             pairs = []
@@ -202,7 +185,7 @@ def similar(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
         for batch in batches:
             texts = texts_of(batch.column(2))
             sets = classes.shingle_sets(texts)
-            bands = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(shared_shingler().signatures(texts)).ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(Shingler().signatures(texts)).ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
             columns = [batch.column(0), batch.column(1), pa.array([classes.node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), bands]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n", "bands"])
 

@@ -115,6 +115,37 @@ def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return begin - begin[0], np.asarray(coded.indices), coded.dictionary
 
 
+_RNG = np.random.default_rng(20_250_101)
+_BYTE_BASE, _SPREAD = (_RNG.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
+
+
+def stir(x: np.ndarray) -> np.ndarray:
+    """Lets all bits of 64-bit numbers bear on all."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word's bytes (a polynomial in their places, stirred), and its length in bytes."""
+    words = words.cast(pa.large_binary())
+    sizes = np.asarray(pc.binary_length(words), np.int64)
+    total = int(sizes.sum())
+    if not total:
+        return np.zeros(len(words), np.uint64), sizes
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    powers = np.full(int(sizes.max()), _BYTE_BASE)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    real = np.flatnonzero(sizes)
+    starts = np.cumsum(sizes) - sizes
+    terms = (raw + np.uint64(1)) * powers[np.arange(total) - np.repeat(starts, sizes)]
+    out = np.zeros(len(words), np.uint64)
+    out[real] = np.add.reduceat(terms, starts[real]) + sizes[real].astype(np.uint64) * _SPREAD
+    return stir(out), sizes
+
+
 class BoundedMemo(dict):
     """A dict that a batch may fill; `trim` empties it once it holds too much."""
 

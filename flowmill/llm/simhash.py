@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from flowmill.llm.classes import AT_LEAST, classes, keyed_texts, node_of, shingle_sets, text_key
 from flowmill.llm.components import components
-from flowmill.llm.shared import batch_words, materialize, slices, texts_of, unused
+from flowmill.llm.shared import batch_words, materialize, slices, stir, texts_of, unused, word_codes
 
 CROWD = 64
 #: Fingerprints of words: segments, the bits of each, the longs they are cut from, and how many bits may differ.
@@ -124,13 +124,14 @@ def _word_prints(texts: pa.Array) -> np.ndarray:
     begin, index, found = batch_words(texts)
     lowered = pc.utf8_lower(found).dictionary_encode()
     index = np.asarray(lowered.indices, np.int64)[index] if len(index) else np.zeros(0, np.int64)
-    names = lowered.dictionary.to_pylist()
+    once, long = word_codes(lowered.dictionary)
+    distinct = max(len(once), 1)
     owner = np.repeat(np.arange(len(texts)), np.diff(begin))
-    pair = np.unique(owner * max(len(names), 1) + index)
-    owner, index = pair // max(len(names), 1), pair % max(len(names), 1)
-    real = np.array([bool(w) for w in names], bool)[index] if len(names) else np.zeros(0, bool)
+    pair = np.unique(owner * distinct + index)
+    owner, index = pair // distinct, pair % distinct
+    real = (long > 0)[index]
     owner, index = owner[real], index[real]
-    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, seed) for w in names for seed in range(LONGS // 2)), "<u8").reshape(-1, LONGS)
+    raw = np.stack([stir(once * np.uint64(2 * k + 1) + np.uint64(k)) for k in range(1, LONGS + 1)], axis=1)
     sizes = np.bincount(owner, minlength=len(texts))
     # 16-bit lanes of a long count four bits at once; no run is longer than a lane can count
     starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)

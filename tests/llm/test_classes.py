@@ -4,8 +4,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
-import xxhash
-from flowmill.llm import minhash, simhash
+from flowmill.llm import minhash, shared, simhash
 
 
 def shingles(text):
@@ -92,15 +91,23 @@ def test_large_group_is_not_expanded(spark):
     assert classed(simhash.near_texts(docs)) == brute(rows)
 
 
+def test_word_codes():
+    words = ["", "a", "b", "aa", "a\0", "ab", "ba", "a" * 5000, "a" * 4999, "é", ""]
+    codes, sizes = shared.word_codes(pa.array(words, pa.large_string()).slice(1))
+    assert sizes.tolist() == [len(w.encode()) for w in words[1:]] and len(set(codes.tolist())) == 10
+    assert codes[0] == shared.word_codes(pa.array(["a"]))[0][0]
+    assert len(np.unique(shared.word_codes(pa.array([f"{i:x}" for i in range(200_000)]))[0])) == 200_000
+
+
 def test_word_prints():
     lines = pa.array(["", " ", "a b c a", "c b A", "x " * 70_000, "y" * 300_000, " ".join(map(str, range(70_000)))], pa.large_string())
     got = simhash.word_prints(lines)
     assert got.shape == (7, simhash.SEGMENTS) and not got[:2].any() and (got[2] == got[3]).all() and got.max() < 1 << simhash.WIDTH
     for row, words in zip(got[2:], [["a", "b", "c"], ["a", "b", "c"], ["x"], ["y" * 300_000], list(map(str, range(70_000)))], strict=True):
         votes = np.zeros(256, int)
-        for w in words:
-            raw = xxhash.xxh3_128_digest(w, 0) + xxhash.xxh3_128_digest(w, 1)
-            votes += np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
+        for code in shared.word_codes(pa.array(words, pa.large_string()))[0]:
+            raw = np.array([shared.stir(code * np.uint64(2 * k + 1) + np.uint64(k)) for k in range(1, 5)])
+            votes += np.unpackbits(raw.view(np.uint8), bitorder="little")
         bits = np.packbits(votes * 2 > len(words), bitorder="little").view("<u4")
         assert (row == bits & ((1 << simhash.WIDTH) - 1)).all()
 

@@ -23,12 +23,12 @@ def split(line):
 def brute(docs):
     """Numbers of removed lines by (doc_id, text), for rows whose doc_ids differ."""
     lines = [(d is None, d or 0, i, split(x), (d, t)) for d, t in docs for i, x in enumerate((t or "").split("\n"))]
-    lines = sorted((x for x in lines if len(x[3]) >= line_dedup.LEAST_WORDS), key=lambda x: x[:3])
+    lines = sorted((x for x in lines if x[3]), key=lambda x: x[:3])
     out = {}
     for k, (_, _, i, words, doc) in enumerate(lines):
         for _, _, _, other, _ in lines[:k]:
             near = min(len(words), len(other)) >= line_dedup.NEAR_WORDS and abs(len(words) - len(other)) <= 1
-            if words == other or near and distance(words, other) <= 1:
+            if words == other or near and line_dedup.within_one(words, other):
                 out.setdefault(doc, []).append(i)
                 break
     return out
@@ -50,7 +50,8 @@ def test_keys_meet_for_near_lines():
         words, begin = line_dedup.word_hashes(pa.array([" ".join(a), " ".join(b)], pa.large_string()))
         _, keys = line_dedup.line_keys(words, begin)
         assert set(keys[:, 0].tolist()) & set(keys[:, 1].tolist()), (a, b)
-        va, vb = (line_dedup.variants(words[begin[i] : begin[i + 1]]).tolist() for i in (0, 1))
+        found, ends = line_dedup.variants(words, begin)
+        va, vb = (found[ends[i] : ends[i + 1]].tolist() for i in (0, 1))
         assert va[p] == vb[p] if kind == 0 else va[-1] in vb[:-1] if kind == 1 else vb[-1] in va[:-1]
 
 
@@ -90,18 +91,27 @@ def test_repeated_rows_and_pipeline_form(spark):
 
 
 def test_query(spark, sf_dir):
+    """All lines of the query's own table by brute force."""
     docs = [tuple(r) for r in registry.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
-    rows = registry.op2_line_dedup(spark, sf_dir).collect()
-    assert len(rows) == len(docs)
-    seen, texts = set(), dict(docs)
-    for r in sorted(rows):
-        lines = texts[r["doc_id"]].split("\n")
-        for i, x in enumerate(lines):
-            words = tuple(split(x))
-            if i not in r["removed_lines"]:
-                assert len(words) < 5 or words not in seen
-                seen.add(words)
-        assert r["text"] == "\n".join(x for i, x in enumerate(lines) if i not in r["removed_lines"])
+    rows, want, texts = registry.op2_line_dedup(spark, sf_dir).collect(), brute(docs), dict(docs)
+    assert len(rows) == len(docs) and len(want) > 20
+    for r in rows:
+        gone = want.get((r["doc_id"], texts[r["doc_id"]]), [])
+        assert r["removed_lines"] == gone and r["n_removed"] == len(gone)
+        assert r["text"] == "\n".join(x for i, x in enumerate(texts[r["doc_id"]].split("\n")) if i not in gone)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "Same\nline", 5, 6, 7, 8, 9), (2, "Same\nother", 5, 6, 7, 8, 9)], "doc_id long, text string, removed_lines int, `_0` int, `_1` int, `__doc` int, `a.b` int")
+    kept = line_dedup.keep_first_lines(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [(1, "Same\nline", 5, 6, 7, 8, 9), (2, "other", 5, 6, 7, 8, 9)]
+    assert sorted(r["removed_lines"] for r in line_dedup.dedup_lines(df).collect()) == [[], [0]]
+
+
+def test_least_words_are_a_parameter(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b d"), (3, "a b c d e f g"), (4, "a b c d e f x")], "doc_id long, text string")
+    removed = lambda n: [r["removed_lines"] for r in sorted(line_dedup.dedup_lines(df, n).collect())]
+    assert removed(2) == [[], [0], [], [0]] and removed(5) == [[], [], [], [0]] and removed(8) == [[], [], [], []]
 
 
 def test_short_lines(spark):

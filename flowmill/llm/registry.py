@@ -19,8 +19,10 @@ URL_RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: Labels of hosts whose pages are listed.
-LISTED_LABELS = ["spam-farm", "cheap-pills"]
+#: The list of URLs that the query is given: pages of these sites by number, all but each third. Most
+#: are no page of the table, and the table has pages of these sites that aren't listed.
+LISTED_HOSTS = [f"{name}.example.{end}" for name in ("spam-farm", "cheap-pills", "blog.cheap-pills") for end in ("com", "net", "org")]
+LISTED_PATHS, LISTED_NUMBERS = ["/en/", "/de/", "/fr/", "/es/"], 10_000
 
 
 def vocabulary(name: str) -> str:
@@ -50,9 +52,14 @@ def op9_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def listed_urls(spark: SparkSession) -> DataFrame:
+    numbers = spark.range(LISTED_NUMBERS).where("id % 3 <> 0")
+    starts = F.explode(F.array(*[F.lit(h + p) for h in LISTED_HOSTS for p in LISTED_PATHS]))
+    return numbers.withColumn("start", starts).select(F.concat("start", F.col("id").cast("string")).alias("listed"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, url_filter.listed_from(pages, LISTED_LABELS), URL_RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages"), listed_urls(spark), URL_RULES)
 
 
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +103,13 @@ WITH parts AS (
         coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
     FROM pages
 ), keyed AS (
-    SELECT *, regexp_replace(host, '^www\.', '') || rtrim(path, '/') AS canonical FROM parts
+    SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^[\s\S]*@', ''), ':(80|443)?$', ''), '^www\.', '')
+        || rtrim(url_decode(replace(path, '+', '%2B')), '/') AS canonical FROM parts
 ), listed AS (
-    SELECT DISTINCT canonical FROM keyed
-    WHERE canonical <> '' AND list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills'])
+    SELECT h.host || p.path || n.id AS canonical
+    FROM (VALUES ('spam-farm.example.com'), ('spam-farm.example.net'), ('spam-farm.example.org'), ('cheap-pills.example.com'), ('cheap-pills.example.net'), ('cheap-pills.example.org'), ('blog.cheap-pills.example.com'), ('blog.cheap-pills.example.net'), ('blog.cheap-pills.example.org')) h(host),
+        (VALUES ('/en/'), ('/de/'), ('/fr/'), ('/es/')) p(path), range(10000) n(id)
+    WHERE n.id % 3 <> 0
 ), rules(verdict, rule_host, rule_path) AS (
     VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
 ), fitting AS (

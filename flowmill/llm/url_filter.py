@@ -5,10 +5,12 @@ longs), built by OR-ing the listed URLs' bits. A URL reads the one block that it
 bits are all set it is a possible hit and goes to an exact hash join with the list, which removes
 false positives; all others never leave their task. Blocks are sized from the list's count, which is
 what the size check of the broadcast looks at: up to `BROADCAST_URLS` listed URLs make a filter of a
-few MB at most; beyond that the blocks are joined by shuffle.
+few MB and a list of some tens of MB at most; beyond that blocks and list are joined by shuffle. Pages
+are read and parsed once.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits no rule, has an
-empty canonical form and is never listed; nulls and empty strings in the list are ignored, repeats do
+empty canonical form and is never listed; very long URLs are read whole; nulls, empty strings and strings
+that begin with a line feed in the list are ignored, repeats do
 no harm; with an empty list every URL without a rule is allowed; an empty table gives no rows;
 repeated rows stay; other columns are ignored.
 """
@@ -39,8 +41,11 @@ def path(url: Column) -> Column:
 
 
 def canonical(host: Column, path: Column) -> Column:
-    """The host without a leading `www.`, and the path without trailing slashes."""
-    return F.concat(F.regexp_replace(host, r"\Awww\.", ""), F.regexp_replace(path, r"/+\z", ""))
+    """The host without user and password, default port and a leading `www.`; the path with percent signs
+    decoded (as it is where they aren't valid) and without trailing slashes."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)\A.*@", ""), r":(80|443)?\z", ""), r"\Awww\.", "")
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.concat(bare, F.regexp_replace(plain, r"/+\z", ""))
 
 
 def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -79,29 +84,23 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], hit: str = "block", miss: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict. `listed` has canonical URLs in its column `listed`."""
-    listed = materialize(listed.where("listed <> ''").select("listed").distinct(), "listed")
+    listed = materialize(listed.where("listed <> '' and not startswith(listed, '\n')").select("listed").distinct(), "listed")
     count = listed.count()
     blocks = max(1, -(-count // URLS_A_BLOCK))
     read = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    read = read.withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
-    ruled = read.where("found is not null").select("page_id", "host", "path", "found.rule", "found.verdict")
-    rest = read.where("found is null").withColumn("canonical", canonical(F.col("host"), F.col("path")))
-    filter_blocks = bloom_blocks(listed, blocks)
-    if count <= BROADCAST_URLS:
-        filter_blocks = F.broadcast(filter_blocks)
-    probed = rest.withColumn("block", _block(F.col("canonical"), blocks)).join(filter_blocks, "block", "left")
-    possible = F.lit(True)
+    read = read.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).withColumn("canonical", canonical(F.col("host"), F.col("path")))
+    asked = F.col("found").isNull() & (F.col("canonical") != "")
+    # what isn't asked gets a key that none has, spread over all tasks
+    aside = F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1 << 20))
+    small = count <= BROADCAST_URLS
+    filter_blocks, exact = bloom_blocks(listed, blocks), listed.withColumnRenamed("listed", "on_list")
+    if small:
+        filter_blocks, exact = F.broadcast(filter_blocks), F.broadcast(exact)
+    probed = read.withColumn("block", F.when(asked, _block(F.col("canonical"), blocks)).otherwise(-1 - aside)).join(filter_blocks, "block", "left")
+    possible = asked
     for i, mask in enumerate(_masks(F.col("canonical"))):
         possible = possible & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(mask) == mask)
-    probed = probed.select("page_id", "host", "path", "canonical", possible.alias("possible"))
-    no_rule = F.lit(None).cast("string").alias("rule")
-    missed = probed.where("not possible").select("page_id", "host", "path", no_rule, F.lit(miss).alias("verdict"))
-    asked = probed.where("possible").join(listed.withColumnRenamed("listed", "on_list"), F.col("canonical") == F.col("on_list"), "left")
-    answered = asked.select("page_id", "host", "path", no_rule, F.when(F.col("on_list").isNotNull(), hit).otherwise(miss).alias("verdict"))
-    return ruled.unionByName(missed).unionByName(answered)
-
-
-def listed_from(pages: DataFrame, names: list[str]) -> DataFrame:
-    """Canonical URLs of all pages on hosts with one of the names among their labels."""
-    h, p = host(F.col("url")), path(F.col("url"))
-    return pages.where(F.arrays_overlap(F.split(h, r"\."), F.array(*map(F.lit, names)))).select(canonical(h, p).alias("listed"))
+    key = F.when(possible, F.col("canonical")).otherwise(F.concat(F.lit("\n"), aside.cast("string")))
+    judged = probed.select("page_id", "host", "path", "found", key.alias("on_list")).join(exact.withColumn("hit", F.lit(True)), "on_list", "left")
+    verdict = F.when(F.col("found").isNotNull(), F.col("found.verdict")).when(F.col("hit"), hit).otherwise(miss)
+    return judged.select("page_id", "host", "path", "found.rule", verdict.alias("verdict"))

@@ -11,15 +11,18 @@ else one unknown piece.
 White space ends words and is dropped; each word begins with the mark U+2581, which also divides
 words where it stands in them. Each distinct word is worked on once while it is remembered.
 
-The vocabulary supplied has ranks, not probabilities; `zipf_scores` turns rank r into -ln(r + 1).
+The vocabulary supplied has ranks, not probabilities; `zipf_scores` turns rank r into -ln(r + 1). So the
+query's counts are those of a model made up from a public vocabulary, not of any published one; with a
+unigram vocabulary's own scores the operator counts as its tokenizer does.
 
-Defined cases: null, empty and blank texts have 0 tokens; repeated rows and null doc_ids are rows of
+Defined cases: very long texts are read whole, word by word; null, empty and blank texts have 0 tokens; repeated rows and null doc_ids are rows of
 their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,6 +35,9 @@ from flowmill.llm.shared import BoundedMemo, texts_of
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
+# The characters with Unicode's property White_Space, and those that only Python counts.
+WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+CONTROLS = re.compile("[\x1c-\x1f]")
 
 
 def zipf_scores(path: str) -> list[tuple[str, float]]:
@@ -61,27 +67,29 @@ class UnigramCounter:
     def word(self, word: str) -> int:
         """Pieces on the best path through a word that begins with the mark."""
         n = len(word)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, (length, score) in self.pieces.iter(word):
-            ending[last + 1].append((last + 1 - length, score))
-        best, count = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        best, count = [0.0] * (n + 1), [0] * (n + 1)
         # start of the run of unknown characters that the best path ends with, or None
         run: list[int | None] = [None] * (n + 1)
-        for end in range(1, n + 1):
-            top, from_, known = -math.inf, -1, True
-            single = False
-            for start, score in sorted(ending[end], key=lambda x: x[0]):
-                single = single or start == end - 1
-                if best[start] + score > top:
-                    top, from_ = best[start] + score, start
+        end, top, from_, single = 1, -math.inf, -1, False
+
+        def close() -> None:
+            nonlocal end, top, from_, single
             if not single and best[end - 1] + self.unknown > top:
-                top, from_, known = best[end - 1] + self.unknown, end - 1, False
-            best[end] = top
-            if known:
-                count[end] = count[from_] + 1
+                head = run[end - 1] if run[end - 1] is not None else end - 1
+                best[end], run[end], count[end] = best[end - 1] + self.unknown, head, count[head] + self._spelt(word[head:end])
             else:
-                head = run[from_] if run[from_] is not None else from_
-                run[end], count[end] = head, count[head] + self._spelt(word[head:end])
+                best[end], count[end] = top, count[from_] + 1
+            end, top, from_, single = end + 1, -math.inf, -1, False
+
+        # matches come by their ends, and the longest first for each
+        for last, (length, score) in self.pieces.iter(word):
+            while end <= last:
+                close()
+            if best[end - length] + score > top:
+                top, from_ = best[end - length] + score, end - length
+            single = single or length == 1
+        while end <= n:
+            close()
         return count[n]
 
     def chunk(self, chunk: str) -> int:
@@ -104,11 +112,7 @@ def _marked(chunk: str) -> list[str]:
 
 def _words(text: str) -> list[str]:
     """Split at Unicode white space; four control characters that Python counts as such are not."""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        held = str.maketrans("\x1c\x1d\x1e\x1f", "﷐﷑﷒﷓")
-        back = str.maketrans("﷐﷑﷒﷓", "\x1c\x1d\x1e\x1f")
-        return [w.translate(back) for w in text.translate(held).split()]
-    return text.split()
+    return WORDS.findall(text) if CONTROLS.search(text) else text.split()
 
 
 def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFrame:

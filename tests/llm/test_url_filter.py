@@ -1,3 +1,6 @@
+import re
+from urllib.parse import unquote
+
 import pytest
 from flowmill.llm import registry, url_filter
 
@@ -11,13 +14,19 @@ def slow(url, rules, listed):
     fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fit:
         return host, path, *max(fit)[1:]
-    return host, path, None, "block" if (host.removeprefix("www.") + path.rstrip("/")) in listed else "allow"
+    bare = host.rsplit("@", 1)[-1]
+    for port in (":80", ":443", ":"):
+        bare = bare.removesuffix(port)
+    plain = path
+    if re.fullmatch("([^%]|%[0-9a-fA-F]{2})*", path):
+        plain = unquote(path)
+    return host, path, None, "block" if (bare.removeprefix("www.") + plain.rstrip("/")) in listed else "allow"
 
 
-URLS = [None, "", "no scheme", "http://", "://x.org", "HTTP://Example.COM/en/1", "http://a.com", "http://com/x", "http://xcom/en/", "https://www.example.com/en/a?b#c", "https://m.www.example.com/en/", "http://a.net/es/?x", "http://a.net/es", "http://net/fr/#://", "http://a.org?q=/es/", "http://a.org#f/", "http://A.ORG/p///", "http://www.a.org/p", "x://y://z", "http://a.org/p\nq", "http://É.org/É", "http://a.org/" + "y" * 50_000]
+URLS = [None, "", "no scheme", "http://", "://x.org", "HTTP://Example.COM/en/1", "http://a.com", "http://com/x", "http://xcom/en/", "https://www.example.com/en/a?b#c", "https://m.www.example.com/en/", "http://a.net/es/?x", "http://a.net/es", "http://net/fr/#://", "http://a.org?q=/es/", "http://a.org#f/", "http://A.ORG/p///", "http://www.a.org/p", "http://me:pw@WWW.a.org:80/%70", "http://a.org:8080/p", "http://a.org:443/p/", "http://a.org/%zz", "http://a.org/a+b%2Bc", "x://y://z", "http://a.org/p\nq", "http://É.org/É", "http://a.org/" + "y" * 50_000]
 
 
-@pytest.mark.parametrize("listed", [["a.org/p", "a.org/p", None, "", "É.org/É"], [f"h{i}.org/{i}" for i in range(3000)] + ["a.org"], []])
+@pytest.mark.parametrize("listed", [["a.org/p", "a.org/p", None, "", "\n7", "É.org/É", "a.org/%zz", "a.org/a+b+c"], [f"h{i}.org/{i}" for i in range(3000)] + ["a.org"], []])
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_against_python(spark, monkeypatch, listed, most):
     monkeypatch.setattr(url_filter, "BROADCAST_URLS", most)
@@ -53,3 +62,12 @@ def test_query_and_sql_agree(spark, sf_dir):
     got = [tuple(r) for r in registry.op5_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule", "verdict").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {r[4] for r in got} == {"allow", "block"}
+
+
+def test_query_has_hits_and_misses_on_and_off_the_list(spark, sf_dir):
+    listed = {r["listed"] for r in registry.listed_urls(spark).collect()}
+    rows = [r for r in registry.op5_url_filters(spark, sf_dir.replace("0.001", "0.01")).collect() if r["rule"] is None]
+    site = [r for r in rows if "spam-farm" in r["host"] or "cheap-pills" in r["host"]]
+    assert {r["verdict"] for r in site} == {"allow", "block"}
+    pages = {r["host"].removeprefix("www.") + r["path"].rstrip("/") for r in rows}
+    assert len(listed - pages) > 1000 and pages & listed

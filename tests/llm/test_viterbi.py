@@ -15,7 +15,7 @@ def tokenizer(vocabulary, byte_fallback):
 
 FULL = viterbi.zipf_scores(registry.vocabulary("piece_bpe_32k.model"))
 COUNTER, REAL = viterbi.UnigramCounter(FULL), tokenizer(FULL, True)
-ODD = ["", " ", "a\x1cb  c", "x▁y ▁▁z ▁", "日本語 Ω≈ç √ 🙂🙂", "<0x41> <s> <unk>", "é ́", "a\xa0b　c", "\x00\x01", "supercalifragilistic" * 200]
+ODD = ["", " ", "a\ufdd0b \x1c", "\x1fa\u2003b\x85c\x1d", "a\x1cb  c", "x▁y ▁▁z ▁", "日本語 Ω≈ç √ 🙂🙂", "<0x41> <s> <unk>", "é ́", "a\xa0b　c", "\x00\x01", "supercalifragilistic" * 200]
 
 
 @settings(max_examples=300, deadline=None)

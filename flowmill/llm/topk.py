@@ -11,7 +11,7 @@ driver, at most PIVOTS^2 pairs), over chunks (in Spark, from their summaries), a
 first round searches one chunk near each query chunk, for kth scores to begin with. Query chunks meet
 a data chunk in groups of `TOGETHER`, so what a task holds is bounded.
 
-Defined cases: vectors that are null or empty, or hold null or non-finite components, take no part, nor do
+Defined cases: vectors that are null or empty (an empty one has no components to be finite), or hold null or non-finite components, take no part, nor do
 rows without an id; components beyond the range of a long are held at its ends; vectors are compared
 with those of their own length; rows with a query's id are taken for its own and are no candidates of
 it; of query rows with equal ids the least vector asks; repeated candidate rows count each; an
@@ -20,7 +20,6 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,10 @@ CHUNK = 4096
 QUERIES_A_CHUNK = 512
 TOGETHER = 64
 LEAF = 96
-BRANCH = 12
+#: The ratio of the radii of a tree's levels, the share of pairs over which a tree isn't worth its while, and the rows of a block then.
+BASE = 1.3
+WORTH = 0.5
+BLOCK = 1024
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,77 +65,150 @@ def farthest(points: np.ndarray, most: int, radius: float) -> list[int]:
 
 
 class CoverTree:
-    """Nodes hold a run of the points, a centre and the radius that covers the run; children's centres
-    are a net of half that radius (at most `BRANCH` of them; their own radii are measured)."""
+    """A cover tree over rows of integers, down to cells of about `LEAF` rows.
+
+    Level i has a net of the rows for the radius top / BASE^i: farthest rows become centres in turn, so each
+    level's centres are also the next one's (nesting), lie further apart than its radius (separation), and
+    hold every row within its radius (covering). A centre's parent is the nearest centre of the level above.
+    A node that has itself as its only child is left out. The finest net stops at a centre for `LEAF` rows.
+
+    `nodes` has, for each node in breadth-first order, where its rows begin and end, its centre's row, and where
+    its children begin and end among the nodes; `radius` is measured over the node's rows."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray):
         order = np.lexsort((*points.T[::-1], ids)) if points.size else np.argsort(ids)
-        self.ids, self.points = ids[order], points[order].astype(np.float64)
-        self.nodes: list[tuple[int, int, np.ndarray, float, float, list[int]]] = []
-        place = np.arange(len(ids))
-        self.nodes.append(self._node(place, 0, len(ids)))
-        todo = [0]
+        ids, points = ids[order], points[order].astype(np.float64)
+        most = max(1, -(-len(ids) // LEAF))
+        centres, parent, born = [0], [0], [0]
+        near, own = distances(points, points[0]), np.zeros(len(ids), np.int64)
+        reach, level = float(near.max()), 0
+        self.radii = [reach]
+        while len(centres) < most and near.max() > 0:
+            level, reach, above = level + 1, reach / BASE, own.copy()
+            self.radii.append(reach)
+            while len(centres) < most and near.max() > reach:
+                row = int(near.argmax())
+                far = distances(points, points[row])
+                nearer = far < near
+                nearer[row] = True
+                own[nearer], near[nearer] = len(centres), far[nearer]
+                centres.append(row)
+                parent.append(int(above[row]))
+                born.append(level)
+        children: dict[int, dict[int, list[int]]] = {}
+        for c in range(1, len(centres)):
+            children.setdefault(parent[c], {}).setdefault(born[c], []).append(c)
+        cells = np.split(np.argsort(own, kind="stable"), np.cumsum(np.bincount(own, minlength=len(centres)))[:-1])
+        # (centre, level after which it has children) in breadth-first order, each with its children
+        kin: list[list[int]] = []
+        todo = [(0, 0)]
+        for c, after in todo:
+            later = min((k for k in children.get(c, ()) if k > after), default=None)
+            kin.append([] if later is None else list(range(len(todo), len(todo) + 1 + len(children[c][later]))))
+            if later is not None:
+                todo += [(c, later), *[(x, later) for x in children[c][later]]]
+        spans, rows = [(0, 0)] * len(todo), []
+
+        def lay(node: int) -> None:
+            begin = len(rows)
+            if kin[node]:
+                for child in kin[node]:
+                    lay(child)
+            else:
+                rows.extend(cells[todo[node][0]].tolist())
+            spans[node] = (begin, len(rows))
+
+        lay(0)
+        place = np.empty(len(rows), np.int64)
+        place[rows] = np.arange(len(rows))
+        self.ids, self.points = ids[rows], points[rows]
+        self.nodes = np.array([(a, b, place[centres[c]], k[0] if k else 0, k[-1] + 1 if k else 0) for (a, b), (c, _), k in zip(spans, todo, kin, strict=True)], np.int64)
+        self._measure()
+
+    def _measure(self) -> None:
+        self.centre = self.points[self.nodes[:, 2]]
+        self.norm = np.sqrt((self.centre**2).sum(axis=1))
+        self.radius = np.array([distances(self.points[a:b], c).max() for (a, b), c in zip(self.nodes[:, :2], self.centre, strict=True)])
+
+    def pack(self) -> bytes:
+        """Little-endian: rows, components, nodes; then ids, components (as doubles) and nodes."""
+        head = np.array([*self.points.shape, len(self.nodes)], "<i8")
+        return b"".join(x.tobytes() for x in (head, self.ids.astype("<i8"), self.points.astype("<f8"), self.nodes.astype("<i8")))
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> CoverTree:
+        tree, held = cls.__new__(cls), np.frombuffer(raw, "<i8")
+        n, size, nodes = held[:3].tolist()
+        tree.ids = held[3 : 3 + n]
+        tree.points = held[3 + n : 3 + n + n * size].view("<f8").reshape(n, size)
+        tree.nodes = held[3 + n + n * size :].reshape(nodes, 5)
+        tree._measure()
+        return tree
+
+
+def reach(queries: CoverTree, qi: np.ndarray, data: CoverTree, di: np.ndarray) -> np.ndarray:
+    """No inner product between rows of two nodes is above this: a matrix for all pairs of the nodes given."""
+    inner, qr, dr = queries.centre[qi] @ data.centre[di].T, queries.radius[qi][:, None], data.radius[di][None]
+    qn, dn = queries.norm[qi][:, None], data.norm[di][None]
+    top = inner + qr * dn + dr * qn + qr * dr
+    return top + 1e-9 * (np.abs(top) + qn * dn + 1)
+
+
+class Search:
+    """The k best of a data tree for each query of a query tree, and how many of all pairs were scored.
+
+    Pairs of nodes are taken best bound first, and left out where the bound is below the worst kth score
+    among the query node's. Where the bounds of the finest nodes leave out few pairs - in many dimensions
+    vectors lie at much the same distance from each other - the tree has nothing to give, and the whole
+    product is taken in blocks: the same result, and the cost of brute force."""
+
+    def __init__(self, queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray):
+        self.queries, self.data, self.k = queries, data, k
+        self.floor = floor.astype(np.float64).copy()
+        self.found: list[list[tuple[int, int]]] = [[] for _ in queries.ids]
+        self.scored, self.pairs = 0, len(queries.ids) * len(data.ids)
+        ql, dl = (np.flatnonzero(t.nodes[:, 4] == 0) for t in (queries, data))
+        worst = np.array([self.floor[a:b].min() for a, b in queries.nodes[ql, :2]])
+        bounds = reach(queries, ql, data, dl)
+        rows, columns = (t.nodes[x, 1] - t.nodes[x, 0] for t, x in ((queries, ql), (data, dl)))
+        open_ = float(rows @ (bounds >= worst[:, None]) @ columns)
+        if open_ > WORTH * self.pairs and np.isfinite(worst).all():
+            for a in range(0, len(data.ids), BLOCK):
+                self._score(0, len(queries.ids), a, min(a + BLOCK, len(data.ids)))
+        else:
+            self._descend()
+
+    def _score(self, qa: int, qb: int, da: int, db: int) -> None:
+        scores, ids = dot(self.queries.points[qa:qb], self.data.points[da:db]), self.data.ids[da:db]
+        self.scored += scores.size
+        good = (scores >= self.floor[qa:qb, None]) & (self.queries.ids[qa:qb, None] != ids)
+        for row in np.flatnonzero(good.any(axis=1)):
+            at, mine = np.flatnonzero(good[row]), qa + int(row)
+            if len(at) > self.k:
+                at = at[np.lexsort((ids[at], -scores[row, at]))[: self.k]]
+            best = sorted(self.found[mine] + list(zip(scores[row, at].tolist(), (-ids[at]).tolist(), strict=True)), reverse=True)[: self.k]
+            self.found[mine] = best
+            if len(best) == self.k:
+                self.floor[mine] = max(self.floor[mine], best[-1][0])
+
+    def _descend(self) -> None:
+        q, d = self.queries, self.data
+        todo = [(np.inf, 0, 0)]
         while todo:
-            n = todo.pop()
-            a, b, centre, radius, _, children = self.nodes[n]
-            if b - a <= LEAF or radius == 0:
+            top, qi, di = todo.pop()
+            qa, qb, _, qf, qt = q.nodes[qi]
+            da, db, _, df, dt = d.nodes[di]
+            if top < self.floor[qa:qb].min():
                 continue
-            own = self.points[place[a:b]]
-            net = farthest(own, BRANCH, radius / 2)
-            nearest = np.stack([distances(own, own[c]) for c in net]).argmin(axis=0)
-            place[a:b] = place[a:b][np.argsort(nearest, kind="stable")]
-            at = a
-            for size in np.bincount(nearest, minlength=len(net)):
-                if size:
-                    children.append(len(self.nodes))
-                    self.nodes.append(self._node(place, at, at + int(size)))
-                    at += int(size)
-            if len(children) > 1:
-                todo += children
-        self.ids, self.points = self.ids[place], self.points[place]
-
-    def _node(self, place: np.ndarray, a: int, b: int) -> tuple[int, int, np.ndarray, float, float, list[int]]:
-        own = self.points[place[a:b]]
-        centre = own.mean(axis=0)
-        return a, b, centre, float(distances(own, centre).max()), float(np.sqrt((centre**2).sum())), []
-
-
-def reach(q: tuple, d: tuple) -> float:
-    """No inner product between points of two nodes is above this."""
-    _, _, qc, qr, qn, _ = q
-    _, _, dc, dr, dn, _ = d
-    top = float(qc @ dc) + qr * dn + dr * qn + qr * dr
-    return top + 1e-9 * (abs(top) + qn * dn + 1)
-
-
-def search(queries: CoverTree, data: CoverTree, k: int, floor: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each query (in its tree's order) up to k (score, -id), best first, that are not below its floor."""
-    found: list[list[tuple[int, int]]] = [[] for _ in queries.ids]
-    floor = floor.astype(np.float64).copy()
-    todo = [(reach(queries.nodes[0], data.nodes[0]), 0, 0)]
-    while todo:
-        top, qi, di = todo.pop()
-        q, d = queries.nodes[qi], data.nodes[di]
-        if top < floor[q[0] : q[1]].min():
-            continue
-        if not q[5] and not d[5]:
-            scores = dot(queries.points[q[0] : q[1]], data.points[d[0] : d[1]])
-            ids = data.ids[d[0] : d[1]]
-            good = (scores >= floor[q[0] : q[1], None]) & (queries.ids[q[0] : q[1], None] != ids)
-            for row in np.flatnonzero(good.any(axis=1)):
-                at = np.flatnonzero(good[row])
-                if len(at) > k:
-                    at = at[np.lexsort((ids[at], -scores[row, at]))[:k]]
-                mine = q[0] + int(row)
-                best = sorted(found[mine] + list(zip(scores[row, at].tolist(), (-ids[at]).tolist(), strict=True)), reverse=True)[:k]
-                found[mine] = best
-                if len(best) == k:
-                    floor[mine] = max(floor[mine], best[-1][0])
-        elif q[5] and (not d[5] or q[3] >= d[3]):
-            todo += sorted((reach(queries.nodes[c], d), c, di) for c in q[5])
-        else:
-            todo += sorted((reach(q, data.nodes[c]), qi, c) for c in d[5])
-    return found
+            if not qt and not dt:
+                self._score(qa, qb, da, db)
+                continue
+            if qt and (not dt or q.radius[qi] >= d.radius[di]):
+                qs, ds = np.arange(qf, qt), np.array([di])
+            else:
+                qs, ds = np.array([qi]), np.arange(df, dt)
+            bounds = reach(q, qs, d, ds)
+            todo += sorted((bounds[i, j], int(x), int(y)) for i, x in enumerate(qs) for j, y in enumerate(ds))
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
@@ -190,10 +265,9 @@ def indexed(rows: DataFrame, ahead: str) -> DataFrame:
 
     def build(t: pa.Table) -> pa.Table:
         tree = CoverTree(np.asarray(t["vec_id"], np.int64), _matrix(t["v"], len(t)))
-        _, _, centre, radius, norm, _ = tree.nodes[0]
         key = [[t[c][0].as_py()] for c in ("size", "pivot", "chunk")]
         names = [f.split()[0] for f in CHUNKS.split(", ")]
-        return pa.table([*[pa.array(k, pa.int32()) for k in key], pa.array([centre.tolist()]), pa.array([radius]), pa.array([norm]), pa.array([pickle.dumps(tree)], pa.binary())], names)
+        return pa.table([*[pa.array(k, pa.int32()) for k in key], pa.array([tree.centre[0].tolist()]), pa.array([tree.radius[0]]), pa.array([tree.norm[0]]), pa.array([tree.pack()], pa.binary())], names)
 
     grouped = rows.select("size", "pivot", "chunk", "vec_id", "v").groupBy("size", "pivot", "chunk")
     return materialize(grouped.applyInArrow(build, CHUNKS), ahead)
@@ -215,9 +289,10 @@ def _pivot_pairs(queries: DataFrame, data: DataFrame, worst: DataFrame, pivots:
         for (other, size2, p2), far2 in radius.items():
             if side == "q" and other == "d" and size == size2:
                 net = pivots.get(size, np.zeros((1, size)))
-                q, d = net[p], net[p2]
-                ball = lambda c, r: (0, 0, c, r * (1 + 1e-12), float(np.sqrt((c**2).sum())), [])
-                if reach(ball(q, far), ball(d, far2)) >= least.get((size, p), -np.inf):
+                q, d, qr, dr = net[p], net[p2], far * (1 + 1e-12), far2 * (1 + 1e-12)
+                qn, dn = float(np.sqrt((q**2).sum())), float(np.sqrt((d**2).sum()))
+                top = float(q @ d) + qr * dn + dr * qn + qr * dr
+                if top + 1e-9 * (abs(top) + qn * dn + 1) >= least.get((size, p), -np.inf):
                     pairs.append((size, p, p2))
     return spark.createDataFrame(pairs, "size int, pivot int, other int")
 
@@ -234,10 +309,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                q = pickle.loads(row["tree"])
+                q = CoverTree.unpack(row["tree"])
                 floor = np.full(len(q.ids), -np.inf)
                 if row["near"] is not None:
-                    found = search(q, pickle.loads(row["near"]), k, floor)
+                    found = Search(q, CoverTree.unpack(row["near"]), k, floor).found
                     floor = np.array([f[-1][0] if len(f) == k else -np.inf for f in found], np.float64)
                 worst = float(floor.min())
                 yield pa.RecordBatch.from_arrays([pa.array([row["size"]], pa.int32()), pa.array([row["pivot"]], pa.int32()), pa.array([row["chunk"]], pa.int32()), pa.array([floor.tolist()]), pa.array([worst])], ["size", "pivot", "chunk", "floor", "worst"])
@@ -261,10 +336,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         for tree in right["d_tree"].to_pylist():
-            data_tree = pickle.loads(tree)
+            data_tree = CoverTree.unpack(tree)
             for i in range(len(left)):
-                query_tree = pickle.loads(left["q_tree"][i].as_py())
-                for query, found in zip(query_tree.ids.tolist(), search(query_tree, data_tree, k, np.array(left["floor"][i].as_py())), strict=True):
+                query_tree = CoverTree.unpack(left["q_tree"][i].as_py())
+                for query, found in zip(query_tree.ids.tolist(), Search(query_tree, data_tree, k, np.array(left["floor"][i].as_py())).found, strict=True):
                     for score, minus in found:
                         for column, value in zip(out, (query, -minus, score), strict=True):
                             column.append(value)

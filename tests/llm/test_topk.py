@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from flowmill.llm import registry, topk
 from pyspark.sql import functions as F
@@ -38,8 +39,37 @@ def test_odd_rows(spark, monkeypatch, small):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_large_components_are_exact():
-    import numpy as np
+@pytest.mark.parametrize("kind", ["clusters", "line", "sphere", "copies"])
+def test_cover_tree(kind, monkeypatch):
+    """Levels cover, separate and nest; the search finds what brute force finds, and leaves out what bounds allow."""
+    monkeypatch.setattr(topk, "LEAF", 8)
+    rng = np.random.default_rng(4)
+    shape = {"clusters": lambda n: rng.normal(0, 3, (n, 6)) + 300 * rng.integers(-3, 4, (n, 1)), "line": lambda n: np.linspace(1, 9000, n)[:, None] * [1.0, 2.0], "sphere": lambda n: 256 * rng.normal(0, 1, (n, 64)), "copies": lambda n: np.tile([[5.0, 7.0]], (n, 1))}[kind]
+    data = topk.CoverTree(np.arange(800), np.floor(shape(800)))
+    a, b, centre, first, last = data.nodes.T
+    assert sorted(data.ids.tolist()) == list(range(800)) and (a[0], b[0]) == (0, 800)
+    for n in range(len(a)):
+        if last[n]:
+            kids = np.arange(first[n], last[n])
+            assert centre[kids[0]] == centre[n]  # nesting
+            assert a[kids].tolist() == [a[n], *b[kids[:-1]]] and b[kids[-1]] == b[n]
+            apart = topk.distances(data.points[centre[kids[1:]]], data.points[centre[n]])
+            reach = [r for r in data.radii if (apart > r).all()]
+            assert reach and (apart <= topk.BASE * max(reach) + 1e-6).any()  # separation, and covering by the level above
+        assert topk.distances(data.points[a[n] : b[n]], data.centre[n]).max() <= data.radius[n]
+    queries = topk.CoverTree(np.arange(1000, 1060), np.floor(shape(60)))
+    again = topk.CoverTree.unpack(data.pack())
+    assert (again.points == data.points).all() and (again.nodes == data.nodes).all()
+    scores = queries.points @ data.points.T
+    want = [sorted(((s, -i) for s, i in zip(row.tolist(), data.ids.tolist(), strict=True)), reverse=True)[:5] for row in scores]
+    found = topk.Search(queries, again, 5, np.full(60, -np.inf))
+    assert found.found == want
+    known = topk.Search(queries, data, 5, np.array([w[-1][0] for w in want]))
+    assert known.found == want and known.scored <= known.pairs
+    if kind in ("clusters", "line"):
+        assert max(found.scored, known.scored) < 0.5 * known.pairs
+
 
+def test_large_components_are_exact():
     a = np.array([[2.0**40, 3.0], [1.0, -1.0]])
     assert topk.dot(a, a).tolist() == [[2**63 - 1, 2**40 - 3], [2**40 - 3, 2]]

@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from flowmill.lang.syntax import DocumentError
 from flowmill.plans.engine import Engine
+from flowmill.sources.registry import catalog_of
 
 
 def env_file(path: str) -> dict[str, str]:
@@ -45,12 +46,17 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--state", default=".flowmill", help="folder of run states and receipts")
     parser.add_argument("--integrity", action="store_true", help="keep receipts that verify checks")
     parser.add_argument("--samples", type=int, default=0, help="rows of each pipeline that plan shows")
+    parser.add_argument("--catalog", help="a JSON file: for each connection its tables' keys")
     given = parser.parse_args(args)
     env = dict(os.environ) | (env_file(given.env) if given.env else {})
     with open(given.document) as f:
         text = f.read()
     spark = spark or SparkSession.builder.appName("flowmill").config("spark.sql.session.timeZone", "UTC").config("spark.scheduler.mode", "FAIR").getOrCreate()
-    engine = Engine(spark, env=env, state_dir=given.state, integrity_on=given.integrity)
+    catalogs = {}
+    if given.catalog:
+        with open(given.catalog) as f:
+            catalogs = {name: catalog_of(tables) for name, tables in json.load(f).items()}
+    engine = Engine(spark, env=env, catalogs=catalogs, state_dir=given.state, integrity_on=given.integrity)
     try:
         match given.command:
             case "plan":

@@ -80,6 +80,7 @@ class Join:
     alias: str
     table: str
     condition: Expr | None
+    how: str = "inner"
 
 
 @dataclass

@@ -21,13 +21,19 @@ STAGE, RULE, REASON = "__stage", "__rule", "__reason"
 
 @dataclass
 class Outcome:
-    """Rows that pass, dead letters, skipped rows, and rows that were warned of (and pass). Not yet computed."""
+    """Rows that pass, dead letters, skipped rows, and rows that were warned of (and pass). Not yet computed.
+
+    All four are parts of `staged`, which is None where no row can fail: then `ok` has all rows. `over`
+    takes them from a stored copy of it instead."""
 
     ok: DataFrame
     dead: DataFrame
     skipped: DataFrame
     warned: DataFrame
     stops: bool = False
+    staged: DataFrame | None = None
+    over: Callable[[DataFrame], Outcome] | None = None
+    counts: list[Column] = field(default_factory=list)
 
 
 @dataclass
@@ -83,7 +89,7 @@ class Flow:
             lk, rk = self._known(frame).get(left), self._known(other).get(right)
             if lk is None or rk is None:
                 raise DocumentError(f"join {j.alias}: there is no column {'.'.join(left if lk is None else right)}")
-            frame = frame.join(other, lk.value == rk.value, "inner")
+            frame = frame.join(other, lk.value == rk.value, j.how)
         return frame
 
     def filtered(self, frame: DataFrame) -> DataFrame:
@@ -132,13 +138,22 @@ class Flow:
         names = [n for n, _ in columns]
         fails = good & F.coalesce(by("fail"), F.lit(False))
         passes = good & (F.col(RULE).isNull() | by("warn"))
-        return Outcome(
-            staged.where(passes).select(*names),
-            self._dead(staged.where(~good | fails), names, {i: (c.message or c.name) for i, c in enumerate(checks)}, staged),
-            staged.where(good & by("skip")).select(*names),
-            staged.where(good & by("warn")).select(*names),
-            any(a == "fail" for a in actions.values()),
-        )
+        messages = {i: (c.message or c.name) for i, c in enumerate(checks)}
+        counted = {"rows": passes, "failed": ~good | fails, "stopping": fails, "skipped": good & by("skip"), "warned": good & by("warn")}
+
+        def over(rows: DataFrame) -> Outcome:
+            return Outcome(
+                rows.where(passes).select(*[F.col(f"`{n}`") for n in names]),
+                self._dead(rows.where(~good | fails), names, messages, rows),
+                rows.where(good & by("skip")).select(*[F.col(f"`{n}`") for n in names]),
+                rows.where(good & by("warn")).select(*[F.col(f"`{n}`") for n in names]),
+                any(a == "fail" for a in actions.values()),
+                rows,
+                over,
+                [F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counted.items()],
+            )
+
+        return over(staged)
 
     def _checks(self, known: dict, outputs: dict[str, Compiled]) -> tuple[Column | None, Column | None, list[Check]]:
         """The number of the first check that a row fails, and a plugin's reason. Unless rules are taken

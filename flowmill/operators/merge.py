@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """One row for each key: the one with the greatest `order`, or any."""
-    if order is None:
+    """One row for each key: the one with the greatest `order`, then with the greatest values of the other
+    columns, so that runs agree. Nulls are least; map columns don't count."""
+    rest = [c for c in df.columns if c not in keys and c != order and df.schema[c].dataType.typeName() not in ("map", "variant")]
+    by = F.struct(*[F.col(f"`{c}`") for c in ([order] if order else []) + rest])
+    others = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+    if not rest and not order:
         return df.dropDuplicates(keys)
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    best = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.max_by(F.struct(*others), by).alias("__row"))
+    return best.select(*[F.col(f"`{c}`") if c in keys else F.col(f"__row.`{c}`") for c in df.columns])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], how: str = "do_update", order: str | None = None) -> DataFrame:

@@ -21,18 +21,34 @@ def keys_of(strategy: str = "default", cursor: str = "id", tiebreaker: str | Non
     return [] if strategy == "default" else [cursor, *([tiebreaker] if tiebreaker else [])]
 
 
-def after(keys: list[str], values: list[Any], timezone: str | None = None) -> Column:
-    """Rows whose keys come after the values, in lexicographic order. The first key is also compared
-    alone, a condition that scans can use to leave out files. Times are UTC, rendered in the timezone."""
+def _literals(values: list[Any], timezone: str | None) -> list[Column]:
     if any(v is None for v in values):
         raise DocumentError("a cursor can't be null")
     lits = [F.lit(v) for v in values]
     if timezone and timezone != "UTC":
         lits[0] = F.from_utc_timestamp(lits[0], timezone).cast("timestamp_ntz")
+    return lits
+
+
+def _together(columns: list[Column]) -> Column:
+    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(columns)])
+
+
+def after(keys: list[str], values: list[Any], timezone: str | None = None) -> Column:
+    """Rows whose keys come after the values, in lexicographic order. The first key is also compared
+    alone, a condition that scans can use to leave out files. Times are UTC, rendered in the timezone."""
+    lits = _literals(values, timezone)
     if len(keys) == 1:
         return F.col(keys[0]) > lits[0]
-    named = lambda columns: F.struct(*[c.alias(f"k{i}") for i, c in enumerate(columns)])
-    return (F.col(keys[0]) >= lits[0]) & (named([F.col(k) for k in keys]) > named(lits))
+    return (F.col(keys[0]) >= lits[0]) & (_together([F.col(k) for k in keys]) > _together(lits))
+
+
+def up_to(keys: list[str], values: list[Any], timezone: str | None = None) -> Column:
+    """Rows whose keys come no later than the values: the other side of `after`."""
+    lits = _literals(values, timezone)
+    if len(keys) == 1:
+        return F.col(keys[0]) <= lits[0]
+    return (F.col(keys[0]) <= lits[0]) & (_together([F.col(k) for k in keys]) <= _together(lits))
 
 
 def page(df: DataFrame, keys: list[str], size: int, cursor: list[Any] | None = None, timezone: str | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from flowmill.lang.parser import parse
 from flowmill.lang.syntax import Array, Call, Document, DocumentError, Expr, Literal, Name, Pipeline, PluginCall
 from flowmill.operators import cascade
 from flowmill.operators.flow import Flow, Outcome, for_table
+from flowmill.sources import jdbc
 from flowmill.sources.registry import Catalog, Connection
 
 
@@ -133,6 +134,8 @@ class Builder:
             if name not in self.plugins and "path" in block.attributes and str(path := self.constant(block.attributes["path"], plain)).endswith(".py"):
                 self.plugins[name] = plugin_calls.load(str(path))
         connections = {n: Connection(self.spark, n, {k: self.constant(v, plain) for k, v in c.attributes.items()}, self.catalogs.get(n, {}), self.handed.get(n, {}), self.plugins) for n, c in doc.connections.items()}
+        for c in connections.values():
+            c.catalog = c.introspected() | c.catalog if c.driver in ("parquet", *jdbc.DRIVERS) else c.catalog
         steps: dict[str, Step] = {}
         groups: dict[str, list[str]] = {}
         for p in doc.pipelines:
@@ -182,6 +185,9 @@ class Builder:
         conflict = {"replace": "do_update", "ignore": "do_nothing", "default": None}.get(conflict, conflict)
         if conflict not in (None, "do_update", "do_nothing"):
             raise DocumentError(f"pipeline {p.name}: there is no on_conflict {conflict}")
+        aim = value(p.target.attributes.get("table")) or table
+        if conflict and mode == "append" and aim not in target.catalog:
+            raise DocumentError(f"pipeline {p.name}: on_conflict needs the keys of {aim}; nothing is known of it (give a catalog)")
         raw = {k: value(v) for k, v in p.settings.items()}
         known = {f.name for f in fields(Settings)}
         settings = Settings(**{k: v for k, v in raw.items() if k in known})
@@ -192,7 +198,7 @@ class Builder:
         if where and where.get("file", {}).get("format", "json") != "json":
             raise DocumentError(f"pipeline {p.name}: failed rows go to json files only")
         retry = {"max_attempts": 3, "delay_ms": 1000} | ({k: value(v) for k, v in p.on_error.blocks["retry"].attributes.items()} if "retry" in p.on_error.blocks else {})
-        return Step(p.name, p, source, target, table, value(p.target.attributes.get("table")) or table, mode, conflict, settings, checks.depends_on(p), reference_options(p, value), page, retry, where)
+        return Step(p.name, p, source, target, table, aim, mode, conflict, settings, checks.depends_on(p), reference_options(p, value), page, retry, where)
 
 
 def reference_options(p: Pipeline, value) -> dict[str, Any] | None:

@@ -7,10 +7,11 @@ import os
 import tempfile
 import threading
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
-from datetime import datetime
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from flowmill.operators import integrity, merge, pages
 from flowmill.plans import report
 from flowmill.plans.builder import Builder, Plan, Step
-from flowmill.sources import sinks
+from flowmill.plans.calibration import Calibration
+from flowmill.sources import jdbc, sinks
 
 
 class PipelineFailed(RuntimeError):
@@ -61,9 +63,9 @@ class State:
     def load(self, run_id: str) -> dict[str, Any]:
         try:
             with open(self.path(run_id)) as f:
-                return json.load(f)
+                return {"done": {}} | json.load(f)
         except FileNotFoundError:
-            return {"pipelines": {}, "receipts": {}, "cursors": {}}
+            return {"pipelines": {}, "receipts": {}, "cursors": {}, "done": {}}
 
     def update(self, run_id: str, part: str, name: str, value: Any) -> None:
         with self.lock:
@@ -86,6 +88,7 @@ class Engine(Builder):
         super().__init__(*args, **more)
         self.state = State(state_dir or tempfile.mkdtemp(prefix="flowmill-state-"))
         self.integrity_on = integrity_on
+        self.calibration = Calibration(os.path.join(self.state.folder, "calibration.json"))
         self.listeners: list[Callable[[str, dict], None]] = []
 
     def tell(self, event: str, **details) -> None:
@@ -98,7 +101,7 @@ class Engine(Builder):
         return {n: plan.outcome(n).ok for n in plan.steps}
 
     def plan(self, text: str, samples: int = 0) -> dict:
-        return report.build(self.build(text), samples)
+        return report.build(self.build(text), samples, self.calibration)
 
     def status(self, text: str) -> dict[str, Any]:
         return self.state.load(self.build(text).run_id)
@@ -142,57 +145,112 @@ class Engine(Builder):
         return run
 
     def run_step(self, plan: Plan, step: Step) -> Result:
+        """Hooks, the load with its retries, and the result. What an attempt has committed - tables, dead
+        letters, receipts - is kept in the state and isn't done again, neither by the next attempt nor by
+        the next run of a document that failed."""
         began = time.time()
         self.tell("pipeline_started", pipeline=step.name)
-        result = Result(step.name, "completed")
+        result, done = Result(step.name, "completed"), self.state.load(plan.run_id)["done"].get(step.name, {})
+        attempts = int(step.retry["max_attempts"]) if "retry" in step.pipeline.on_error.blocks else 1
         try:
-            for statement in step.pipeline.before:
-                self.spark.sql(statement)
-            for attempt in range(int(step.retry.get("max_attempts", 1)) if step.retry else 1):
+            if not done:
+                self.hooks(step, step.pipeline.before)
+            for attempt in range(attempts):
                 try:
-                    self.load(plan, step, result)
+                    self.load(plan, step, done)
                     break
                 except PipelineFailed:
                     raise
-                except Exception:
-                    if "retry" not in step.pipeline.on_error.blocks or attempt + 1 == int(step.retry["max_attempts"]):
+                except Exception as error:
+                    if attempt + 1 == attempts:
                         raise
+                    self.tell("pipeline_retried", pipeline=step.name, attempt=attempt + 1, error=str(error).split("\n")[0])
                     time.sleep(step.retry["delay_ms"] / 1000 * 2**attempt)
-            for statement in step.pipeline.after:
-                self.spark.sql(statement)
+            self.hooks(step, step.pipeline.after)
         except Exception as error:
             result.status, result.error = "failed", str(error).split("\n")[0]
+        for counts in done.get("tables", {}).values():
+            for name in ("rows", "failed", "skipped", "warned"):
+                setattr(result, name, getattr(result, name) + counts[name])
         result.seconds = time.time() - began
+        self.state.update(plan.run_id, "done", step.name, {} if result.status == "completed" or done.get("stopped") else done)
         self.state.update(plan.run_id, "pipelines", step.name, result.status)
+        if result.status == "completed":
+            self.calibration.observe(step.source.driver, step.target.driver, result.rows + result.failed + result.skipped, result.seconds)
         self.tell("pipeline_finished", **asdict(result))
         return result
 
-    def load(self, plan: Plan, step: Step, result: Result) -> None:
-        """Writes a pipeline's tables. All or nothing where a check fails: dead letters are written, rows aren't."""
-        outcomes = {step.target_table: self.paged(plan, step)} if step.paginate and step.references is None else plan.family(step.name)
-        for table, outcome in outcomes.items():
-            if outcome.dead.isEmpty():
-                failed = 0
+    def hooks(self, step: Step, statements: list[str]) -> None:
+        """Statements before and after the data: on the target itself where it is a database, else in Spark."""
+        for statement in statements:
+            if step.target.driver in jdbc.DRIVERS:
+                step.target.execute(statement)
             else:
-                failed = outcome.dead.count()
-                self.bury(plan, step, outcome.dead)
-            result.failed += failed
-            if failed and outcome.stops and outcome.dead.where("stage = 'validate'").limit(1).count():
+                self.spark.sql(statement)
+
+    def load(self, plan: Plan, step: Step, done: dict[str, Any]) -> None:
+        """Writes a pipeline's tables. All or nothing where a check fails: dead letters are written, rows aren't.
+
+        Where rows can fail, the pipeline's rows are computed once, into a staging folder, and counted and
+        written from there. A table counts as done once its one write has been committed; an end of the process
+        between that and the state's update is the one gap."""
+        note = lambda: self.state.update(plan.run_id, "done", step.name, done)
+        paging = step.paginate and step.references is None
+        if paging and "bound" not in done:
+            done["bound"] = self.newest(plan, step)
+        outcomes = {step.target_table: self.paged(plan, step, done["bound"])} if paging else plan.family(step.name)
+        tables, stopped = done.setdefault("tables", {}), False
+        for table, outcome in outcomes.items():
+            if table not in tables:
+                counts = {"rows": 0, "failed": 0, "skipped": 0, "warned": 0}
+                stage = None
+                try:
+                    if outcome.staged is not None:
+                        stage = self.staging(step, table)
+                        outcome.staged.write.parquet(stage)
+                        outcome = outcome.over(self.spark.read.schema(outcome.staged.schema).parquet(stage))
+                        counts = outcome.staged.agg(*outcome.counts).first().asDict()
+                        stopped = bool(counts.pop("stopping")) and outcome.stops
+                        if stopped:
+                            counts["rows"] = 0
+                    if counts["failed"] and table not in done.get("buried", []):
+                        self.bury(plan, step, outcome.dead)
+                        done.setdefault("buried", []).append(table)
+                        note()
+                    if not stopped:
+                        counted = Observation()
+                        rows = outcome.ok if outcome.staged is not None else outcome.ok.observe(counted, F.count(F.lit(1)).alias("rows"))
+                        # a view outlives the staging folder
+                        sinks.write(step.target, table, plan.family(step.name)[table].ok if step.target.driver == "view" else rows, step.mode, step.on_conflict, step.settings.create_missing_columns)
+                        if outcome.staged is None:
+                            counts["rows"] = self.observed(step, counted, outcome.ok)
+                    tables[table] = counts
+                    note()
+                    self.tell("table_written", pipeline=step.name, table=table, **counts)
+                finally:
+                    if stage:
+                        sinks.remove(self.spark, stage)
+            if stopped:
+                done["stopped"] = True
                 raise PipelineFailed(f"{step.name}: rows failed a check whose action is fail")
-            counted = Observation()
-            rows = outcome.ok.observe(counted, F.count(F.lit(1)).alias("rows"))
-            sinks.write(step.target, table, rows, step.mode, step.on_conflict, step.settings.create_missing_columns)
-            result.rows += self.observed(step, counted, outcome.ok)
-            if outcome.stops or step.pipeline.checks:
-                result.skipped += outcome.skipped.count()
-                result.warned += outcome.warned.count()
-            if self.integrity_on:
-                keys = [k for k in step.target.catalog.get(table, step.source.catalog.get(step.table)).primary_key] if (table in step.target.catalog or step.table in step.source.catalog) else []
-                got = integrity.receipt(step.target.read(table), step.name, table, [k for k in keys if k in step.target.read(table).columns])
-                if got:
-                    self.state.update(plan.run_id, "receipts", f"{step.name}/{table}", got)
-        if step.paginate and step.references is None:
-            self.keep_cursor(plan, step)
+            if self.integrity_on and table not in done.get("receipts", []):
+                self.receipt(plan, step, table)
+                done.setdefault("receipts", []).append(table)
+                note()
+        if paging and done["bound"] is not None:
+            self.state.update(plan.run_id, "cursors", step.name, done["bound"])
+
+    def receipt(self, plan: Plan, step: Step, table: str) -> None:
+        known = step.target.catalog.get(table) or step.source.catalog.get(step.table)
+        written = step.target.read(table)
+        got = integrity.receipt(written, step.name, table, [k for k in (known.primary_key if known else ()) if k in written.columns])
+        if got:
+            self.state.update(plan.run_id, "receipts", f"{step.name}/{table}", got)
+
+    def staging(self, step: Step, table: str) -> str:
+        """A new folder that all executors see: in `spark.checkpoint.dir`, or beside the target's tables, or in the warehouse."""
+        where = self.spark.conf.get("spark.checkpoint.dir", None) or (str(step.target.options["url"]) if step.target.driver == "parquet" else self.spark.conf.get("spark.sql.warehouse.dir"))
+        return f"{where.rstrip('/')}/_staging/{table}-{uuid.uuid4().hex}"
 
     @staticmethod
     def observed(step: Step, counted: Observation, ok: DataFrame) -> int:
@@ -210,24 +268,41 @@ class Engine(Builder):
 
     # -- pages
 
-    def paged(self, plan: Plan, step: Step):
-        """The rows after the cursor that the last run of the same document left."""
-        keys = pages.keys_of(step.paginate["strategy"], step.paginate["cursor"], step.paginate["tiebreaker"])
+    @staticmethod
+    def page_keys(step: Step) -> list[str]:
+        return pages.keys_of(step.paginate["strategy"], step.paginate["cursor"], step.paginate["tiebreaker"])
+
+    def newest(self, plan: Plan, step: Step) -> list[Any] | None:
+        """The last keys of the source as it is now: what the load reads, and the cursor it leaves. Times are kept in UTC."""
+        keys, source = self.page_keys(step), plan.source(step)
+        if not keys:
+            return None
+        last = source.dropna(subset=keys).agg(F.max(F.struct(*keys)).alias("m")).select("m.*")
+        zone = step.paginate["timezone"]
+        if zone != "UTC" and source.schema[keys[0]].dataType.typeName() == "timestamp_ntz":
+            last = last.withColumn(keys[0], F.to_utc_timestamp(keys[0], zone).cast("timestamp_ntz"))
+        row = last.select(*[F.col(k).cast("string") if t.startswith("time") or t.startswith("date") else F.col(k) for k, t in last.dtypes]).first()
+        return None if row[0] is None else list(row)
+
+    def paged(self, plan: Plan, step: Step, bound: list[Any] | None):
+        """The rows after the cursor that the last run of the same document left, up to `bound`: rows that
+        come while the load runs are the next run's. Rows with a null key belong to the first run."""
+        keys, source = self.page_keys(step), plan.source(step)
         saved = self.state.load(plan.run_id)["cursors"].get(step.name)
-        source = plan.source(step)
-        if keys and saved:
+        if keys:
             types = {f.name: f.dataType for f in source.schema.fields}
-            values = [F.lit(v).cast(types[k]) for k, v in zip(keys, saved, strict=True)]
-            source = source.where(F.struct(*keys) > F.struct(*values))
+            typed = lambda values: [F.lit(v).cast(types[k]) for k, v in zip(keys, values, strict=True)]
+            zone = step.paginate["timezone"] if types[keys[0]].typeName() == "timestamp_ntz" else None
+            null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+            if saved:
+                source = source.where(pages.after(keys, typed(saved), zone))
+            if bound:
+                to = pages.up_to(keys, typed(bound), zone)
+                source = source.where(to if saved else to | null)
+            elif not saved:
+                source = source.where(null)
         return plan.flow(step).build(source, step.source.read)
 
-    def keep_cursor(self, plan: Plan, step: Step) -> None:
-        keys = pages.keys_of(step.paginate["strategy"], step.paginate["cursor"], step.paginate["tiebreaker"])
-        if keys:
-            last = plan.source(step).dropna(subset=keys).agg(F.max(F.struct(*[F.col(k).cast("string" if t.startswith("time") else t).alias(k) for k, t in plan.source(step).select(*keys).dtypes])).alias("m")).first()["m"]
-            if last is not None:
-                self.state.update(plan.run_id, "cursors", step.name, [v.isoformat() if isinstance(v, datetime) else v for v in last])
-
     # -- verify
 
     def verify(self, text: str) -> dict[str, dict[str, Any]]:

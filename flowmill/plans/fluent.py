@@ -33,10 +33,12 @@ class PipelineBuilder:
     def where(self, *conditions: str | Expr) -> PipelineBuilder:
         return self._with(where=[*self.flow.where, *map(expression, conditions)])
 
-    def join(self, alias: str, on: tuple[str, str], table: str | None = None) -> PipelineBuilder:
-        """An inner join; `on` has the two columns, as table.column."""
+    def join(self, alias: str, on: tuple[str, str], table: str | None = None, how: str = "inner") -> PipelineBuilder:
+        """`on` has the two columns, as table.column; `how` is inner, left, right or full."""
+        if how not in ("inner", "left", "right", "full"):
+            raise DocumentError(f"there is no join {how}")
         left, right = (Name(tuple(x.split("."))) for x in on)
-        return self._with(joins=[*self.flow.joins, Join(alias, table or alias, Binary("==", left, right))])
+        return self._with(joins=[*self.flow.joins, Join(alias, table or alias, Binary("==", left, right), how)])
 
     def select(self, **fields: str | Expr) -> PipelineBuilder:
         return self._with(select=[*(self.flow.select or []), *[(n, expression(e)) for n, e in fields.items()]])

@@ -12,6 +12,7 @@ from flowmill.functions.compiler import Mode
 from flowmill.lang.syntax import Name
 from flowmill.operators.flow import action
 from flowmill.plans.builder import Plan, Step
+from flowmill.plans.calibration import Calibration
 from flowmill.sources import sinks
 from flowmill.sources.registry import TableInfo
 
@@ -36,8 +37,10 @@ def hook_kind(statement: str) -> str:
     return next((k for k, words in kinds.items() if first in words), "other")
 
 
-def estimate(rows: int, step: Step) -> dict[str, Any]:
-    rate = RATES.get(step.source.driver, OTHER_RATE) * JOIN_FACTORS[min(len(step.pipeline.joins), 4)]
+def estimate(rows: int, step: Step, measured: Calibration | None = None) -> dict[str, Any]:
+    """From the rate measured for the pair of drivers, or else the fixed one."""
+    first = RATES.get(step.source.driver, OTHER_RATE)
+    rate = (measured.rate(step.source.driver, step.target.driver, first) if measured else first) * JOIN_FACTORS[min(len(step.pipeline.joins), 4)]
     computed = sum(not isinstance(e, Name) for _, e in step.pipeline.select or [])
     rate *= max(0.7, 1 - 0.02 * computed)
     size = step.settings.batch_size
@@ -101,7 +104,7 @@ def diagnose(plan: Plan, step: Step, schema: Any) -> list[dict[str, str]]:
     return out
 
 
-def build(plan: Plan, samples: int = 0) -> dict[str, Any]:
+def build(plan: Plan, samples: int = 0, measured: Calibration | None = None) -> dict[str, Any]:
     pipelines = {}
     for name, step in plan.steps.items():
         outcome = plan.outcome(name)
@@ -117,7 +120,7 @@ def build(plan: Plan, samples: int = 0) -> dict[str, Any]:
             "paginate": step.paginate,
             "hooks": [{"when": w, "statement": s, "kind": hook_kind(s)} for w, items in (("before", step.pipeline.before), ("after", step.pipeline.after)) for s in items],
             "ddl": sinks.ddl(step.target_table, outcome.ok.schema, step.target.catalog.get(step.target_table, TableInfo()), step.settings, step.pipeline.table_map, existing),
-            "estimate": estimate(counts["filtered_rows"], step),
+            "estimate": estimate(counts["filtered_rows"], step, measured),
             "diagnostics": diagnose(plan, step, outcome.ok.schema),
             "sample": masked(outcome.ok, samples) if samples else [],
         }

@@ -2,20 +2,24 @@
 
 Drivers: `parquet` (a folder with a Parquet file or folder for each table; reads and writes), `csv`
 (one file; reads), `view` (temporary views of the session, and frames handed over in Python),
-`mysql`/`postgres` (Spark's JDBC source, where a driver jar is there) and `wasm`/`python` (a plugin
+`mysql`/`postgres`/`jdbc` (Spark's JDBC source, where a driver jar is there) and `wasm`/`python` (a plugin
 registered in Python that reads or writes).
+
+Keys of tables are found out by `introspected`: from the database, or for Parquet from `catalog.json`
+beside the tables. A catalog that is handed over comes first.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import dataclass, field, fields
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.lang.syntax import DocumentError
-from flowmill.sources import csv_files
+from flowmill.sources import csv_files, jdbc
 
 
 @dataclass
@@ -43,6 +47,20 @@ class TableInfo:
 Catalog = dict[str, TableInfo]
 
 
+def catalog_of(tables: dict[str, dict[str, Any]]) -> Catalog:
+    """A catalog from plain data: for each table primary_key, foreign_keys (columns, table, target) and so on."""
+    many = lambda x: tuple([x] if isinstance(x, str) else x)
+    out = {}
+    for name, t in tables.items():
+        if unknown := set(t) - {f.name for f in fields(TableInfo)}:
+            raise DocumentError(f"catalog of {name}: there is no {', '.join(sorted(unknown))}")
+        plain = {k: many(t[k]) for k in ("primary_key", "generated", "sequences") if k in t}
+        pairs = {k: {n: many(v) for n, v in t[k].items()} for k in ("indexes", "enums") if k in t}
+        keys = [ForeignKey(many(k["columns"]), k["table"], many(k["target"])) for k in t.get("foreign_keys", [])]
+        out[name] = TableInfo(**plain, **pairs, foreign_keys=keys, unique=[many(u) for u in t.get("unique", [])], checks=list(t.get("checks", [])))
+    return out
+
+
 @dataclass
 class Connection:
     spark: SparkSession
@@ -76,10 +94,8 @@ class Connection:
                 return csv_files.read(self.spark, self.options)
             case "view":
                 return self.spark.table(table)
-            case "mysql" | "postgres":
-                url = str(self.options["url"])
-                name = f"{self.options['schema']}.{table}" if self.options.get("schema") else table
-                return self.spark.read.format("jdbc").options(url=url if url.startswith("jdbc:") else f"jdbc:{url}", dbtable=name).load()
+            case "mysql" | "postgres" | "jdbc":
+                return self.spark.read.format("jdbc").options(**jdbc.options(self.options), dbtable=jdbc.qualified(self.options, table)).load()
             case "wasm" | "python":
                 plugin = self.plugins.get(str(self.options.get("plugin")))
                 if plugin is None or not hasattr(plugin, "read"):
@@ -89,8 +105,22 @@ class Connection:
 
     def lanes(self, table: str, column: str, n: int) -> DataFrame:
         """A JDBC table in n ranges of an integer key; elsewhere Spark splits the scan by itself."""
-        if self.driver not in ("mysql", "postgres"):
+        if self.driver not in jdbc.DRIVERS:
             return self.read(table)
         lo, hi = self.read(table).agg(F.min(column), F.max(column)).first()
-        url = str(self.options["url"])
-        return self.spark.read.jdbc(url if url.startswith("jdbc:") else f"jdbc:{url}", table, column=column, lowerBound=lo or 0, upperBound=(hi or 0) + 1, numPartitions=n)
+        split = {"partitionColumn": column, "lowerBound": lo or 0, "upperBound": (hi or 0) + 1, "numPartitions": n}
+        return self.spark.read.format("jdbc").options(**jdbc.options(self.options), dbtable=jdbc.qualified(self.options, table), **split).load()
+
+    def execute(self, statement: str) -> None:
+        jdbc.execute(self.spark, self.options, [statement])
+
+    def introspected(self) -> Catalog:
+        """What the tables' home says of their keys; nothing where it says nothing."""
+        if self.driver in jdbc.DRIVERS:
+            return jdbc.introspect(self.spark, self.options)
+        if self.driver == "parquet":
+            where = f"{str(self.options['url']).rstrip('/')}/catalog.json"
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+            if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+                return catalog_of(json.loads("\n".join(r["value"] for r in self.spark.read.text(where, wholetext=True).collect())))
+        return {}

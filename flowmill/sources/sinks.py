@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from flowmill.lang.syntax import DocumentError
 from flowmill.operators import merge
+from flowmill.sources import jdbc
 from flowmill.sources.registry import Connection, TableInfo
 from flowmill.sources.types import coerced
 
@@ -33,6 +34,12 @@ def swap(connection: Connection, table: str, df: DataFrame) -> None:
         files.delete(kept, True)
 
 
+def remove(spark, path: str) -> None:
+    """Deletes a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write(connection: Connection, table: str, df: DataFrame, mode: str = "append", on_conflict: str | None = None, create_missing_columns: bool = False) -> None:
     if connection.driver in ("wasm", "python"):
         plugin = connection.plugins.get(str(connection.options.get("plugin")))
@@ -40,9 +47,12 @@ def write(connection: Connection, table: str, df: DataFrame, mode: str = "append
             raise DocumentError(f"plugin {connection.options.get('plugin')} writes no table")
         plugin.write(df, table, mode)
         return
-    if connection.driver in ("mysql", "postgres"):
-        url = str(connection.options["url"])
-        df.write.jdbc(url if url.startswith("jdbc:") else f"jdbc:{url}", table, mode="overwrite" if mode == "replace" else "append", properties={"truncate": "true"})
+    if connection.driver in jdbc.DRIVERS:
+        info = connection.catalog.get(table, TableInfo())
+        df = merge.fitting(df, df.columns, (*info.generated,))
+        if on_conflict and info.primary_key:
+            df = merge.latest(df, list(info.primary_key))
+        jdbc.write(df, connection.options, table, mode, list(info.primary_key), on_conflict)
         return
     if connection.driver == "view":
         df.createOrReplaceTempView(table)
@@ -72,6 +82,30 @@ def write(connection: Connection, table: str, df: DataFrame, mode: str = "append
         df.select("*", *missing).select(*old.columns).write.mode("append").parquet(connection.path(table))
 
 
+def truncate(connection: Connection, table: str) -> None:
+    """Takes all rows away and leaves the table."""
+    if connection.driver in jdbc.DRIVERS:
+        connection.execute(f"TRUNCATE TABLE {jdbc.qualified(connection.options, table)}")
+    else:
+        swap(connection, table, connection.read(table).limit(0))
+
+
+def drop(connection: Connection, table: str, if_exists: bool = False) -> None:
+    """Takes a table away. One that isn't there is an error unless `if_exists`."""
+    if connection.driver == "view":
+        there = connection.spark.catalog.dropTempView(table)
+    elif connection.driver in jdbc.DRIVERS:
+        there = table in connection.introspected()
+        if there:
+            connection.execute(f"DROP TABLE {jdbc.qualified(connection.options, table)}")
+    else:
+        there = connection.exists(table)
+        if there:
+            remove(connection.spark, connection.path(table))
+    if not there and not if_exists:
+        raise DocumentError(f"connection {connection.name} has no table {table}")
+
+
 def dead_letters(rows: DataFrame) -> DataFrame:
     """Failed rows as they are kept: with an id and the time."""
     return rows.select(F.expr("uuid()").alias("id"), "*", F.current_timestamp().alias("failed_at"))

@@ -93,7 +93,7 @@ def test_strategies_and_failures(run):
     events = []
     run.engine.listeners.append(lambda e, d: events.append(e))
     run.engine.apply(run.text(pipe("z", ID_NAME, to="z")))
-    assert events == ["run_started", "pipeline_started", "pipeline_finished", "run_finished"]
+    assert events == ["run_started", "pipeline_started", "table_written", "pipeline_finished", "run_finished"]
 
 
 def test_retry(run, monkeypatch):

@@ -14,7 +14,8 @@ The driver sees one row for each source - so much is taken to be bounded: source
 documents - and nothing else. Running sums are taken within (source, range of the hash) and joined
 with what the ranges before hold, so a source with a third of all rows is no task's burden alone.
 
-Defined cases: a null text has size 0, and a document of size 0 is never taken; null is a source of
+Defined cases: very long texts are counted whole, and cut where a target ends in them; of equal hashes
+the lesser doc_id comes first; a null text has size 0, and a document of size 0 is never taken; null is a source of
 its own, last in order; repeated rows are rows of their own; an empty table gives no rows; the
 columns needed are doc_id, text and source, and others are ignored.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from flowmill.llm.shared import materialize
+from flowmill.llm.shared import materialize, unused
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -129,32 +130,37 @@ class Mix:
         return parts.join(self.schedule(), ["n", "rank"]).select("slot", "n", "place", "epoch", "from", "words")
 
     def taken(self) -> DataFrame:
-        """`documents` with `epochs`, the words taken of it in each round of its source, and `taken`."""
-        rounds = self.segments().groupBy("n", "place", "epoch").agg(F.sum("words").alias("words"))
-        used = rounds.groupBy("n", "place").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("epoch", "words"))).alias("epochs"))
+        """`documents` with `epochs` (the words taken of it in each round of its source, and the first slot that takes
+        them), `taken`, and the schedule's `first_slot` and `last_slot` for it (null where nothing is taken)."""
+        rounds = self.segments().groupBy("n", "place", "epoch").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"), F.max("slot").alias("last"))
+        epochs = F.array_sort(F.collect_list(F.struct("epoch", "words", "slot"))).alias("epochs")
+        used = rounds.groupBy("n", "place").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("last").alias("last_slot"), epochs)
         both = self.documents.alias("d").join(used.alias("u"), (F.col("d.n") == F.col("u.n")) & (F.col("d.place") == F.col("u.place")) & (F.col("d.size") > 0), "left")
-        return both.select("d.*", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "epochs")
+        return both.select("d.*", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot", "epochs")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row for each round in which a document is taken, all columns kept. The
-    one document of a source at which its target ends is cut after the words taken."""
+    one document of a source at which its target ends is cut after the words taken. The rows of every
+    partition, and so of every file written from it, are in the order of the schedule's slots."""
     taken = Mix(docs, **options).taken()
+    key, doc, source, hashed, size, turns, turn = unused(docs, 7)
     # identical rows share their key here; the epochs of all are dealt out to one and dropped from the others
-    chosen = taken.where("taken > 0").select("doc_id", "hash", F.col("source").alias("__s"), "size", F.explode("epochs").alias("e"))
-    chosen = chosen.groupBy("doc_id", "hash", "__s").agg(F.max("size").alias("__size"), F.collect_list("e.words").alias("__words"))
-    chosen = chosen.withColumnRenamed("doc_id", "__doc").withColumnRenamed("hash", "__hash")
-    key = F.xxhash64(F.lit(17), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    one = docs.withColumn("__key", key)
-    repeated = one.groupBy("__key", "doc_id", "source").count().where("count > 1")
+    chosen = taken.where("taken > 0").select("doc_id", "hash", "source", "size", F.explode("epochs").alias("e")).groupBy("doc_id", "hash", "source")
+    chosen = chosen.agg(F.max("size").alias(size), F.collect_list(F.struct("e.slot", "e.words")).alias(turns))
+    chosen = chosen.withColumnsRenamed({"doc_id": doc, "hash": hashed, "source": source})
+    one = docs.withColumn(key, F.xxhash64(F.lit(17), F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    repeated = one.groupBy(key, "doc_id", "source").count().where("count > 1")
     if not repeated.isEmpty():
-        one = one.dropDuplicates(["__key", "doc_id", "source"])
-    same = F.col("__key").eqNullSafe(F.col("__hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.col("source").cast("string").eqNullSafe(F.col("__s"))
-    out = one.join(chosen, same).withColumn("__n", F.explode("__words"))
-    cut = out.where("__n < __size").withColumn("text", first_words(F.col("text"), F.col("__n")))
+        one = one.dropDuplicates([key, "doc_id", "source"])
+    same = F.col(key).eqNullSafe(F.col(hashed)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & one["source"].cast("string").eqNullSafe(F.col(source))
+    out = one.join(chosen, same).withColumn(turn, F.explode(turns)).sortWithinPartitions(f"{turn}.slot", hashed)
+    words, cut = F.col(f"{turn}.words"), F.col(f"{turn}.words") < F.col(size)
+    text = F.when(cut, first_words(F.when(cut, F.col("text")), words)).otherwise(F.col("text"))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.where("__n >= __size").unionByName(cut).select(*docs.columns)
+        changed["n_chars"] = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @F.pandas_udf(StringType())
@@ -165,4 +171,5 @@ def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
         ends = [m.end() for m in itertools.islice(WORD.finditer(text), int(n))]
         return text[: ends[-1]] if ends else ""
 
-    return pd.Series([cut(t, n) for t, n in zip(texts, counts, strict=True)], dtype=object)
+    # no text where nothing is cut
+    return pd.Series([t and cut(t, n) for t, n in zip(texts, counts, strict=True)], dtype=object)

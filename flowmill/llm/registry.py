@@ -63,7 +63,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

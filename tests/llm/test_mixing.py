@@ -81,6 +81,27 @@ def test_schedule_interleaves_sources(spark):
     assert all(v <= 25 for v in filled.values()) and sum(v == 25 for v in filled.values()) >= len(filled) - 3
 
 
+def test_another_schedule_gives_other_slots(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * 40, "abc"[i % 3]) for i in range(120)], "doc_id long, text string, source string")
+    slots = lambda: {r["doc_id"]: (r["first_slot"], r["last_slot"]) for r in mixing.Mix(docs, block=25).taken().collect()}
+    first = slots()
+    assert first == slots() and all((a is None) == (b is None) and (a is None or a <= b) for a, b in first.values())
+    monkeypatch.setattr(mixing, "STEP", mixing.STEP // 3 | 1)
+    assert first != slots()
+
+
+def test_files_follow_the_schedule(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * 40, "abc"[i % 3], 1, 2) for i in range(120)], "doc_id long, text string, source string, `__s` int, `_0` int")
+    first = {r["doc_id"]: [e["slot"] for e in r["epochs"] or []] for r in mixing.Mix(docs, block=25).taken().collect()}
+    out = mixing.mixed_documents(docs, block=25)
+    assert out.columns == docs.columns
+    for part in out.rdd.glom().collect():
+        left, last = {d: list(s) for d, s in first.items()}, -1
+        for r in part:
+            assert left[r["doc_id"]][0] >= last
+            last = left[r["doc_id"]].pop(0)
+
+
 def test_query(spark, sf_dir):
     docs = [tuple(r) for r in registry.table(spark, sf_dir, "documents").select("doc_id", "text", "source").collect()]
     source = {d: s for d, _, s in docs}

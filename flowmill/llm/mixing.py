@@ -36,7 +36,8 @@ from flowmill.llm.shared import materialize, unused
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 1024
-RANGES = 256
+#: Ranges of the hash a source at least, and the rows of one if it had all.
+RANGES, ROWS_A_RANGE = 256, 200_000
 CHUNK = 4096
 #: The golden ratio as an odd fraction of the period: whole-number arithmetic, exact for any number of slots.
 PERIOD = 1 << 31
@@ -78,7 +79,8 @@ class Mix:
     def __init__(self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK_WORDS):
         self.spark, self.block, self.most = docs.sparkSession, block, most
         rows = materialize(sized(docs), "sized")
-        spots = rows.withColumn("range", F.expr(f"cast(floor((hash / 9223372036854775808D + 1) * {RANGES // 2}) as int)"))
+        ranges = max(RANGES, rows.count() // ROWS_A_RANGE)
+        spots = rows.withColumn("range", F.expr(f"cast(floor((hash / 9223372036854775808D + 1) * {ranges / 2}D) as int)"))
         by_range = materialize(spots.groupBy("source", "range").agg(F.sum("size").alias("words")), "ranges")
         totals = by_range.groupBy("source").agg(F.sum("words").alias("words")).collect()
         totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))

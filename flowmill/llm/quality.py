@@ -8,7 +8,7 @@ is left is compiled into Spark column expressions, so scoring is a sum of CASE W
 Held-out rows - crc32 of the doc_id as text divisible by 5 - are never learnt from, and labels, lang,
 source and doc_id are never inputs of a score.
 
-Defined cases: a null text is empty, and has all statistics zero; a null doc_id counts as the empty
+Defined cases: very long texts are read whole; a null text is empty, and has all statistics zero; a null doc_id counts as the empty
 text, so it is held out; labels other than 0 and 1 are ignored; without labels of both kinds every
 score is the share of ones, or 0.5 with no labels at all; repeated rows are rows of their own; an
 empty table gives no rows; other columns are ignored.
@@ -16,6 +16,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -205,47 +206,54 @@ class Model:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
-PREFIX = "__q_"
+def prefix_for(df: DataFrame) -> str:
+    """A beginning that no column's name has."""
+    return next(p for p in (f"q{i}_" for i in itertools.count()) if not any(c.lower().startswith(p) for c in df.columns))
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
+def with_statistics(docs: DataFrame, prefix: str) -> DataFrame:
     """The table with a column for each statistic of `text` behind its own."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = statistics(texts_of(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in stats.T]], [*batch.schema.names, *[PREFIX + n for n in NAMES]])
+            stats = statistics(texts_of(batch.column(at)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in stats.T]], [*batch.schema.names, *[prefix + n for n in NAMES]])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(PREFIX + n, DoubleType()) for n in NAMES]]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(prefix + n, DoubleType()) for n in NAMES]]))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+#: The beginning of the statistics' names where no other columns are.
+STATISTICS = "q_"
+
+
 def fit(measured: DataFrame, labels: DataFrame) -> Model:
     """Learns from labelled rows that are not held out. `measured` has doc_id and the statistics."""
-    known = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("__doc"), F.col("quality").cast("double").alias("__y"))
-    sample = measured.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("__doc"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", *[PREFIX + n for n in NAMES], "__y").limit(MOST_ROWS)
-    rows = sample.select("__y", *[PREFIX + n for n in NAMES]).toArrow()
+    known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("labelled"), F.col("quality").cast("double").alias("y"))
+    sample = measured.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("labelled"))
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", *[STATISTICS + n for n in NAMES], "y").limit(MOST_ROWS)
+    rows = sample.select("y", *[STATISTICS + n for n in NAMES]).toArrow()
     columns = [np.asarray(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c, np.float64) for c in rows.columns]
     return Model.fit(np.stack(columns[1:], axis=1), columns[0])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text."""
-    measured = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
+    measured = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), STATISTICS).drop("text")
     measured = materialize(measured, "statistics")
-    scored = measured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), fit(measured, labels).column(PREFIX).alias("score"))
+    scored = measured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), fit(measured, labels).column(STATISTICS).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score reaches the threshold, all columns kept. Nothing is shuffled but the
-    statistics of labelled rows."""
-    ids = labels.select(F.col("doc_id").alias("__doc")).distinct()
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = materialize(with_statistics(read).drop("text"), "statistics")
-    model = fit(measured.join(ids, F.col("doc_id") == F.col("__doc"), "left_semi"), labels)
-    return with_statistics(docs).where(model.column(PREFIX) >= THRESHOLD).select(*docs.columns)
+    """The documents whose score reaches the threshold, all columns kept. Statistics are taken of labelled
+    documents to learn, then of all; nothing is shuffled but labelled documents."""
+    ids = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out(F.col("doc_id"))).join(ids, "doc_id", "left_semi")
+    model = fit(materialize(with_statistics(read, STATISTICS).drop("text"), "statistics"), labels)
+    prefix = prefix_for(docs)
+    return with_statistics(docs, prefix).where(model.column(prefix) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -36,6 +36,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_SCRATCH[0]
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def drop_scratch() -> None:
+    """Deletes the intermediate tables that this process wrote. Results that read them are gone by then:
+    it runs at the end of the process, or when its caller has stored what it wanted."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+        except Exception:  # the JVM has ended before; the folder is the cluster's to clear
+            return
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -45,6 +61,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     so that a lost executor costs a reread and not a recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -53,3 +53,18 @@ def test_damage_is_seen():
         list(binary_ids.frames(content[:-8] + b"........"))
     with pytest.raises(ValueError):
         list(binary_ids.frames(b"." * 64))
+
+
+def test_query(spark, sf_dir):
+    """The query over its own table, ids by the tokenizer's own calls."""
+    from flowmill.llm import registry
+    from tokenizers import Tokenizer
+
+    t, start = Tokenizer.from_file(vocabulary(WORD_BPE)), 0
+    got = {r["doc_id"]: tuple(r) for r in registry.op4_binary_token_ids(spark, sf_dir).collect()}
+    docs = sorted(map(tuple, registry.table(spark, sf_dir, "documents").select("doc_id", "text").collect()))
+    for doc, text in docs:
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        assert got[doc] == (doc, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert len(got) == len(docs)

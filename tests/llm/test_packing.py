@@ -69,3 +69,17 @@ def test_empty_table(spark):
 def test_bound(spark, lengths):
     cut = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long").selectExpr("doc_id", "0 piece", "0L start", "length", "doc_id ids_crc32")
     assert check(packing.pack(cut).collect(), 4096) == packing.sequences_needed(np.array(lengths), 4096)
+
+
+def test_query(spark, sf_dir):
+    """The query over its own table, ids by the tokenizer's own calls."""
+    from flowmill.llm import registry
+    from tokenizers import Tokenizer
+
+    t, want = Tokenizer.from_file(vocabulary(WORD_BPE)), []
+    for r in registry.table(spark, sf_dir, "documents").select("doc_id", "text").collect():
+        ids = np.array(t.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4")
+        want += [(r["doc_id"], k, k * 4096, len(part), zlib.crc32(part.tobytes())) for k, part in enumerate(np.split(ids, range(4096, len(ids), 4096)))]
+    rows = registry.op1_best_fit_packing(spark, sf_dir).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(want)
+    assert check(rows, 4096) <= best_fit([n for *_, n, _ in want], 4096)

@@ -56,9 +56,9 @@ def test_query_on_held_out_rows(spark):
 
 def test_column_is_the_model(spark):
     docs = registry.table(spark, "/root/testdata/sf0.001", "documents")
-    measured = quality.with_statistics(docs.select("doc_id", "text"))
+    measured = quality.with_statistics(docs.select("doc_id", "text"), quality.STATISTICS)
     model = quality.fit(measured, registry.table(spark, "/root/testdata/sf0.01", "labels"))
-    rows = measured.select(*[quality.PREFIX + n for n in quality.NAMES], model.column(quality.PREFIX).alias("s")).collect()
+    rows = measured.select(*[quality.STATISTICS + n for n in quality.NAMES], model.column(quality.STATISTICS).alias("s")).collect()
     assert np.allclose(model.scores(np.array([r[:-1] for r in rows])), [r["s"] for r in rows])
 
 
@@ -78,3 +78,11 @@ def test_odd_rows(spark):
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.count() == 5
     assert quality.score_documents(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "text of a row " * i, 1, 2, 3, 4) for i in range(8)], "doc_id long, text string, q0_chars int, y int, labelled int, `a.b` int")
+    labels = spark.createDataFrame([(i, i % 2, 9, 9) for i in range(8)], "doc_id long, quality int, text int, q_chars int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and set(kept.collect()) <= set(docs.collect())
+    assert quality.score_documents(docs, labels).count() == 8

@@ -16,7 +16,6 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,31 +205,26 @@ class Model:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
-def prefix_for(df: DataFrame) -> str:
-    """A beginning that no column's name has."""
-    return next(p for p in (f"q{i}_" for i in itertools.count()) if not any(c.lower().startswith(p) for c in df.columns))
+#: The beginning of the statistics' names.
+STATISTICS = "q_"
 
 
-def with_statistics(docs: DataFrame, prefix: str) -> DataFrame:
-    """The table with a column for each statistic of `text` behind its own."""
-    at = docs.columns.index("text")
+def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The table with a column for each statistic of the column `text` behind its own."""
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats = statistics(texts_of(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in stats.T]], [*batch.schema.names, *[prefix + n for n in NAMES]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in stats.T]], [*batch.schema.names, *[STATISTICS + n for n in NAMES]])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(prefix + n, DoubleType()) for n in NAMES]]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(STATISTICS + n, DoubleType()) for n in NAMES]]))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-#: The beginning of the statistics' names where no other columns are.
-STATISTICS = "q_"
-
-
 def fit(measured: DataFrame, labels: DataFrame) -> Model:
     """Learns from labelled rows that are not held out. `measured` has doc_id and the statistics."""
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("labelled"), F.col("quality").cast("double").alias("y"))
@@ -243,7 +237,7 @@ def fit(measured: DataFrame, labels: DataFrame) -> Model:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text."""
-    measured = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), STATISTICS).drop("text")
+    measured = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
     measured = materialize(measured, "statistics")
     scored = measured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), fit(measured, labels).column(STATISTICS).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
@@ -254,6 +248,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     documents to learn, then of all; nothing is shuffled but labelled documents."""
     ids = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out(F.col("doc_id"))).join(ids, "doc_id", "left_semi")
-    model = fit(materialize(with_statistics(read, STATISTICS).drop("text"), "statistics"), labels)
-    prefix = prefix_for(docs)
-    return with_statistics(docs, prefix).where(model.column(prefix) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = fit(materialize(with_statistics(read).drop("text"), "statistics"), labels)
+    # columns go by their place, so that no name can clash
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kept = with_statistics(docs.toDF(*names), names[docs.columns.index("text")]).where(model.column(STATISTICS) >= THRESHOLD)
+    return kept.select(*names).toDF(*docs.columns)

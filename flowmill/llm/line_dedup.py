@@ -39,6 +39,8 @@ from flowmill.llm.shared import batch_words, materialize, slices, texts_of, unus
 
 #: The fewest words of a line that may go as a near one: one word in five leaves a similarity of 0.8.
 NEAR_WORDS = 5
+#: Occurrences from which on a line may be told to all tasks instead of being gathered in one.
+COMMON_LINE = 1000
 _RNG = np.random.default_rng(77)
 _BASE = (_RNG.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
 #: Powers of each base, modulo 2^64, for hashes of word sequences; long lines take them anew.
@@ -238,8 +240,12 @@ def repeated_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.expr(ORDER)).alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"))
     distinct = materialize(distinct, "distinct_lines")
     near = near_lines(distinct.select("h1", "h2", "first", "keys"), docs).withColumn("near", F.lit(True))
-    told = distinct.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").where("times > 1 or near")
-    gone = lines.select("h1", "h2", "doc_id", "text_key", "line").join(told, ["h1", "h2"])
+    told = materialize(distinct.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left").where("times > 1 or near"), "told")
+    # lines that are a ten-thousandth of all or more are ten thousand at most: they are broadcast, the rest is shuffled
+    total = distinct.agg(F.sum("times")).first()[0] or 0
+    often = F.col("times") > max(COMMON_LINE, total // 10_000)
+    hot, places = F.broadcast(told.where(often)), lines.select("h1", "h2", "doc_id", "text_key", "line")
+    gone = places.join(hot, ["h1", "h2"]).unionByName(places.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(told.where(~often), ["h1", "h2"]))
     gone = gone.where(f"near or first < {ORDER}")
     return gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -42,6 +43,20 @@ def load(path: str) -> Plugin:
     return found
 
 
+def check_plugin(plugin: Plugin) -> list[str]:
+    """What is wrong with a plugin's own description."""
+    out = [] if plugin.kind in ("transform", "filter") else [f"there is no kind {plugin.kind}"]
+    out += [] if plugin.returns in TYPES else [f"returns {plugin.returns}, which is no type"]
+    for name, t in (plugin.inputs or {}).items():
+        out += [] if t in TYPES else [f"{name} is {t}, which is no type"]
+    if not callable(plugin.run):
+        return [*out, "run can't be called"]
+    takes = inspect.signature(plugin.run).parameters
+    if plugin.inputs is not None and not any(p.kind is p.VAR_KEYWORD for p in takes.values()):
+        out += [f"run has no argument {n}" for n in plugin.inputs if n not in takes]
+    return out
+
+
 def compatible(have: T.DataType, want: str) -> bool:
     """Whether a column of one type can be given where another is wanted: equal, or widened."""
     wanted = T._parse_datatype_string(TYPES.get(want, want)) if not isinstance(want, T.DataType) else want

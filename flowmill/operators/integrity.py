@@ -1,21 +1,23 @@
 """Hashes of rows, and one Merkle root for a table, whatever its order and partitions.
 
 A value's bytes are a tag and a text form of its own (`ENCODING`), so equal values have equal bytes across tables that
-were written apart. Rows are hashed in Spark. The tree is folded over leaves in key order: whole blocks
-of `BLOCK` leaves by their tasks, the blocks' roots - one for each 65,536 rows - on the driver.
+were written apart. Rows and leaves are hashed in Spark. The tree is folded in key order, whole blocks of
+`BLOCK` by their tasks, level after level; the driver folds 65,536 roots at most.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ENCODING = "flowmill-1"
 BLOCK = 1 << 16
+#: Rows from which on 65,536 ranges of keys are numbered apart, not 4,096.
+MANY = 1_000_000_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -56,9 +58,12 @@ def hashed(df: DataFrame, keys: list[str]) -> DataFrame:
     return rows if keys else rows.distinct()
 
 
-def leaf(key: str, row_hash: str) -> bytes:
-    raw = key.encode()
-    return hashlib.sha256(b"\x00" + len(raw).to_bytes(4, "little") + raw + bytes.fromhex(row_hash)).digest()
+def leaf() -> Column:
+    """Hash of a zero byte, the key's length in four bytes (little-endian), the key, and the row's hash."""
+    key = F.col("row_key").cast("binary")
+    size = F.lpad(F.hex(F.length(key)), 8, "0")
+    turned = F.unhex(F.concat(*[F.substring(size, i, 2) for i in (7, 5, 3, 1)]))
+    return F.sha2(F.concat(F.lit(b"\x00"), turned, key, F.unhex("row_hash")), 256)
 
 
 def fold(leaves: list[bytes]) -> bytes:
@@ -71,26 +76,33 @@ def fold(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
-def numbered(rows: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, digits: int = 3) -> DataFrame:
     """Rows in the order of their key with their number from 0. A row's number is its rank among the keys
     with its first hash digits and the count of those with lesser ones, so no task sees all rows."""
-    spread = rows.withColumn("sort", F.sha2(F.col("row_key").cast("binary"), 256)).withColumn("part", F.conv(F.substring("sort", 1, 3), 16, 10).cast("int"))
+    spread = rows.withColumn("sort", F.sha2(F.col("row_key").cast("binary"), 256)).withColumn("part", F.conv(F.substring("sort", 1, digits), 16, 10).cast("int"))
     counts = spread.groupBy("part").agg(F.count("*").alias("n"))
     base = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     local = F.row_number().over(Window.partitionBy("part").orderBy("sort", "row_hash")) - 1
     return spread.withColumn("local", local).join(F.broadcast(base), "part").select("row_key", "row_hash", (F.col("base") + F.col("local")).alias("number"))
 
 
-def merkle_root(df: DataFrame, keys: list[str]) -> str:
-    """Root over the rows in the order of their keys' hashes."""
+def merkle_root(df: DataFrame, keys: list[str], rows: int | None = None) -> str:
+    """Root over the rows in the order of their keys' hashes; `rows` is their number, if it is known. Leaves are
+    hashed in Spark; blocks of BLOCK numbers are folded to one until few are left, and those on the driver."""
 
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("number")
-        return pd.DataFrame({"block": [int(rows["number"].iloc[0]) // BLOCK], "root": [fold([leaf(k, h) for k, h in zip(rows["row_key"], rows["row_hash"], strict=True)]).hex()]})
+    def block(part: pa.Table) -> pa.Table:
+        part = part.sort_by("number")
+        root = fold([bytes.fromhex(h) for h in part["hash"].to_pylist()]).hex()
+        return pa.table({"number": pa.array([part["number"][0].as_py() // BLOCK], pa.int64()), "hash": [root]})
 
-    rows = numbered(hashed(df, keys)).withColumn("block", F.expr(f"number div {BLOCK}"))
-    roots = rows.groupBy("block").applyInPandas(block, "block long, root string").collect()
-    return fold([bytes.fromhex(r["root"]) for r in sorted(roots)]).hex()
+    rows = df.count() if rows is None else rows
+    level = numbered(hashed(df, keys), 3 if rows < MANY else 4).select("number", leaf().alias("hash"))
+    while True:
+        level = level.groupBy(F.expr(f"number div {BLOCK}").alias("block")).applyInArrow(block, "number long, hash string")
+        rows = -(-rows // BLOCK)
+        if rows <= BLOCK:
+            break
+    return fold([bytes.fromhex(r["hash"]) for r in sorted(level.collect())]).hex()
 
 
 def receipt(df: DataFrame, pipeline: str, table: str, keys: list[str]) -> dict | None:
@@ -98,4 +110,4 @@ def receipt(df: DataFrame, pipeline: str, table: str, keys: list[str]) -> dict |
     n = df.count()
     if not n:
         return None
-    return {"pipeline": pipeline, "table": table, "rows": n, "root": merkle_root(df, keys), "keys": keys, "columns": sorted(df.columns), "encoding": ENCODING}
+    return {"pipeline": pipeline, "table": table, "rows": n, "root": merkle_root(df, keys, n), "keys": keys, "columns": sorted(df.columns), "encoding": ENCODING}

@@ -63,9 +63,9 @@ class State:
     def load(self, run_id: str) -> dict[str, Any]:
         try:
             with open(self.path(run_id)) as f:
-                return {"done": {}} | json.load(f)
+                return {"done": {}, "control": {}} | json.load(f)
         except FileNotFoundError:
-            return {"pipelines": {}, "receipts": {}, "cursors": {}, "done": {}}
+            return {"pipelines": {}, "receipts": {}, "cursors": {}, "done": {}, "control": {}}
 
     def update(self, run_id: str, part: str, name: str, value: Any) -> None:
         with self.lock:
@@ -109,6 +109,18 @@ class Engine(Builder):
     def reset(self, text: str) -> None:
         self.state.reset(self.build(text).run_id)
 
+    def pause(self, text: str) -> None:
+        """A run of the document, here or in another process, stops before its next pipeline."""
+        self.state.update(self.build(text).run_id, "control", "paused", True)
+
+    def resume(self, text: str) -> Run:
+        """Goes on with a run that was paused or failed: what is done isn't done again."""
+        self.state.update(self.build(text).run_id, "control", "paused", False)
+        return self.apply(text)
+
+    def paused(self, run_id: str) -> bool:
+        return bool(self.state.load(run_id)["control"].get("paused"))
+
     # -- apply
 
     def apply(self, text: str) -> Run:
@@ -120,7 +132,7 @@ class Engine(Builder):
         for level in plan.levels():
             todo = []
             for name in level:
-                blocked = [d for d in plan.steps[name].after if run.results[d].status in ("failed", "skipped")]
+                blocked = [d for d in plan.steps[name].after if run.results[d].status in ("failed", "skipped", "paused")]
                 if before.get(name) == "completed" and not plan.steps[name].paginate:
                     run.results[name] = Result(name, "already completed")
                 elif stop or blocked:
@@ -133,6 +145,9 @@ class Engine(Builder):
                 def one(name: str) -> Result:
                     if stopping.is_set():
                         return Result(name, "skipped", error="the run stopped")
+                    if self.paused(plan.run_id):
+                        self.tell("pipeline_paused", pipeline=name)
+                        return Result(name, "paused")
                     result = self.run_step(plan, plan.steps[name])
                     if result.status == "failed" and plan.execution["on_failure"] == "fail_fast":
                         stopping.set()

@@ -269,7 +269,10 @@ add("cascade_schema_only", _family('data = "schema_only" depth = 1'), "SELECT 'o
 _FINISHED = 'orders.o_orderstatus == "F"'
 for _name, _options, _table in (("lineitem", 'data = "cascade"', "lineitem"), ("part", 'data = "cascade"', "part"), ("depth", 'data = "cascade" depth = 1', None), ("exclude", 'data = "cascade" exclude = ["line*", "region"]', None), ("schema_only", 'data = "schema_only" depth = 1', None)):
     add(f"cascade_{_name}_whole", _family(_options, _table, _FINISHED), ORACLE_SQL[f"cascade_{_name}"].replace("o_orderkey < 40", "o_orderstatus = 'F'"))
-add("table_write_order", lambda spark, sf: spark.createDataFrame([(i, t) for i, t in enumerate(cascade.write_order(cascade.reachable("orders", CATALOG), CATALOG))], "place int, name string"))
+add("table_write_order", lambda spark, sf: spark.createDataFrame([(i, t) for i, t in enumerate(cascade.write_order(cascade.reachable("orders", CATALOG), CATALOG))], "place int, name string"), """
+    WITH RECURSIVE edges(child, parent) AS (VALUES ('lineitem', 'orders'), ('lineitem', 'part'), ('lineitem', 'supplier'), ('orders', 'customer'), ('customer', 'nation'), ('supplier', 'nation'), ('nation', 'region')),
+    depth(name, d) AS (SELECT parent, 0 FROM edges WHERE parent NOT IN (SELECT child FROM edges) UNION SELECT child, d + 1 FROM edges JOIN depth ON parent = name)
+    SELECT (row_number() OVER (ORDER BY max(d), name) - 1)::int AS place, name FROM depth GROUP BY name""")
 
 # -- reports, integrity, plugins
 
@@ -277,7 +280,15 @@ _RATES = CHECKS % (_BOTH % ("skip", "skip"))
 add("selectivity", lambda spark, sf: (lambda p: report.selectivity(p, p.steps["q"]))(planned(spark, document(sf, 'where { orders.o_orderstatus == "O" }'))), "SELECT count(*) AS total_rows, count(*) FILTER (o_orderstatus = 'O') AS filtered_rows, count(*) FILTER (o_orderstatus = 'O') / count(*) AS selectivity FROM orders")
 add("check_rates", lambda spark, sf: (lambda p: report.check_rates(p, p.steps["q"]))(planned(spark, document(sf, _RATES))), "SELECT 'dear' AS \"check\", count(*) FILTER (NOT o_totalprice > 50000) AS failed, count(*) AS sampled FROM orders UNION ALL SELECT 'status', count(*) FILTER (o_orderstatus = 'F'), count(*) FROM orders")
 add("constraint_violations", lambda spark, sf: sinks.violations(read(spark, sf, "orders"), CATALOG["orders"], lambda t: read(spark, sf, t)), "SELECT 'primary_key(o_orderkey)' AS \"constraint\", (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS violations UNION ALL SELECT 'foreign_key(o_custkey)', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'check(o_totalprice >= 0)', count(*) FROM orders WHERE o_totalprice < 0")
-add("row_hashes", lambda spark, sf: integrity.hashed(read(spark, sf, "region"), ["r_regionkey"]), "SELECT length('i' || r_regionkey) || ':i' || r_regionkey AS row_key, sha256(length('s' || r_name) || ':s' || r_name || length('i' || r_regionkey) || ':i' || r_regionkey) AS row_hash FROM region")
+_TYPED = {"o_orderkey": "o_orderkey", "price": "cast(o_totalprice AS decimal(18, 2))", "total": "o_totalprice", "done": "o_orderstatus = 'F'", "at": "o_orderdate", "day": "cast(o_orderdate AS date)", "urgent": "CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END"}
+#: The bytes of each column's value as DuckDB writes them.
+_BYTES = {"o_orderkey": "'i' || o_orderkey", "price": "'d' || rtrim(rtrim(price::varchar, '0'), '.')", "total": "'f' || total", "done": "'i' || done::int", "at": "'t' || epoch_us(\"at\")", "day": "'t' || (day - date '1970-01-01')", "urgent": "coalesce('s' || urgent, 'n')"}
+_LONG = {n: f"length({x}) || ':' || {x}" for n, x in _BYTES.items()}
+add(
+    "row_hashes",
+    lambda spark, sf: integrity.hashed(read(spark, sf, "orders").selectExpr(*[f"{e} AS {n}" for n, e in _TYPED.items()]), ["o_orderkey"]),
+    f"WITH t AS (SELECT {', '.join(f'{e} AS "{n}"' for n, e in _TYPED.items())} FROM orders) SELECT {_LONG['o_orderkey']} AS row_key, sha256({' || '.join(_LONG[n] for n in sorted(_LONG))}) AS row_hash FROM t",
+)
 add("merkle_root", lambda spark, sf: spark.createDataFrame([(integrity.merkle_root(read(spark, sf, "orders"), ["o_orderkey"]),)], "root string"))
 add("plugin_transform", piped('select { key = l_orderkey gross = plugin.with_tax({ price: lineitem.l_extendedprice, rate: lineitem.l_tax }) }', "lineitem", more='plugin "with_tax" { path = "-" }'), "SELECT l_orderkey AS key, l_extendedprice * (1 + l_tax) AS gross FROM lineitem")
 add("plugin_filter", piped('select { key = l_orderkey } validate { assert "cheap" { check = plugin.cheap({ price: lineitem.l_extendedprice }) action = skip } }', "lineitem", more='plugin "cheap" { path = "-" }'), "SELECT l_orderkey AS key FROM lineitem WHERE l_extendedprice < 40000")

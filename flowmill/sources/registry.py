@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.lang.syntax import DocumentError
-from flowmill.sources import csv_files, jdbc
+from flowmill.sources import csv_files, jdbc, plugin_tables
 
 
 @dataclass
@@ -98,6 +98,8 @@ class Connection:
                 return self.spark.read.format("jdbc").options(**jdbc.options(self.options), dbtable=jdbc.qualified(self.options, table)).load()
             case "wasm" | "python":
                 plugin = self.plugins.get(str(self.options.get("plugin")))
+                if plugin is not None and hasattr(plugin, "fetch"):
+                    return plugin_tables.paged(self.spark, plugin, self.options)
                 if plugin is None or not hasattr(plugin, "read"):
                     raise DocumentError(f"plugin {self.options.get('plugin')} reads no table")
                 return plugin.read(self.spark, self.options)

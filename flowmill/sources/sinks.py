@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from flowmill.lang.syntax import DocumentError
 from flowmill.operators import merge
-from flowmill.sources import jdbc
+from flowmill.sources import jdbc, plugin_tables
 from flowmill.sources.registry import Connection, TableInfo
 from flowmill.sources.types import coerced
 
@@ -43,6 +43,9 @@ def remove(spark, path: str) -> None:
 def write(connection: Connection, table: str, df: DataFrame, mode: str = "append", on_conflict: str | None = None, create_missing_columns: bool = False) -> None:
     if connection.driver in ("wasm", "python"):
         plugin = connection.plugins.get(str(connection.options.get("plugin")))
+        if plugin is not None and hasattr(plugin, "write_batch"):
+            plugin_tables.stepped(df, plugin, table, mode, dict(connection.options))
+            return
         if plugin is None or not hasattr(plugin, "write"):
             raise DocumentError(f"plugin {connection.options.get('plugin')} writes no table")
         plugin.write(df, table, mode)

@@ -78,3 +78,45 @@ def coerced(column: Column, have: T.DataType, want: T.DataType) -> Column:
     if isinstance(want, T.StringType) and isinstance(have, (T.ArrayType, T.StructType, T.MapType)):
         return F.to_json(column)
     return column.try_cast(want)
+
+
+_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
+
+
+def conversion(have: T.DataType, want: T.DataType) -> dict[str, object] | None:
+    """What writing a value of one type to a column of another takes: how (implicit, explicit or by a
+    function), whether it is safe, and a note. None where the types are equal."""
+    if have == want:
+        return None
+    whole, to_whole = isinstance(have, _NUMBERS), isinstance(want, _NUMBERS)
+    real, to_real = isinstance(have, (T.FloatType, T.DoubleType)), isinstance(want, (T.FloatType, T.DoubleType))
+    how, lost = "explicit", ""
+    if whole and to_whole:
+        narrower = _NUMBERS.index(type(want)) < _NUMBERS.index(type(have))
+        how, lost = ("explicit", "large numbers don't fit") if narrower else ("implicit", "")
+    elif whole and (to_real or isinstance(want, T.DecimalType)):
+        how = "implicit"
+    elif (real or isinstance(have, T.DecimalType)) and to_whole:
+        lost = "fractions are cut"
+    elif isinstance(have, T.DoubleType) and isinstance(want, T.FloatType):
+        lost = "digits are lost"
+    elif real and to_real:
+        how = "implicit"
+    elif isinstance(have, T.DecimalType) and isinstance(want, T.DecimalType):
+        lost = "digits are lost" if want.scale < have.scale or want.precision - want.scale < have.precision - have.scale else ""
+        how = "explicit" if lost else "implicit"
+    elif isinstance(have, T.TimestampType) and isinstance(want, (T.TimestampNTZType, T.DateType)):
+        lost = "the time zone is lost"
+    elif isinstance(have, T.TimestampNTZType) and isinstance(want, T.DateType):
+        lost = "the time of day is lost"
+    elif isinstance(have, _TIMES) and isinstance(want, T.StringType):
+        how, lost = "date_format", "a text depends on its format"
+    elif isinstance(have, (T.ArrayType, T.StructType, T.MapType)) and isinstance(want, T.StringType):
+        how, lost = "to_json", "a text depends on its format"
+    elif isinstance(have, T.StringType) and isinstance(want, _TIMES):
+        how = "to_timestamp"
+    elif isinstance(have, T.BinaryType) and isinstance(want, T.StringType):
+        how = "decode"
+    note = f"{have.simpleString()} to {want.simpleString()}" + (f": {lost}" if lost else "")
+    return {"from": have.simpleString(), "to": want.simpleString(), "how": how, "safe": not lost, "note": note}

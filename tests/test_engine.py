@@ -113,6 +113,20 @@ def test_verify(run, spark):
     assert run.engine.verify(text)["a/customers"] == {"status": "mismatch", "missing": 1, "extra": 1, "changed": 1}
 
 
+def test_merkle_root_against_plain_hashing(spark, monkeypatch):
+    import hashlib
+
+    df = spark.createDataFrame([(i, f"é{i}" * (i % 5), None if i % 3 else 1.5) for i in range(300)], "id int, s string, x double")
+    rows = sorted(map(tuple, integrity.hashed(df, ["id"]).collect()), key=lambda r: hashlib.sha256(r[0].encode()).hexdigest())
+    level = [hashlib.sha256(b"\0" + len(k.encode()).to_bytes(4, "little") + k.encode() + bytes.fromhex(h)).digest() for k, h in rows]
+    while len(level) > 1:
+        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    assert integrity.merkle_root(df, ["id"]) == level[0].hex()
+    monkeypatch.setattr(integrity, "BLOCK", 4)
+    monkeypatch.setattr(integrity, "MANY", 1)
+    assert integrity.merkle_root(df, ["id"]) == level[0].hex()
+
+
 def test_merkle_root_depends_on_rows_alone(spark, monkeypatch):
     df = spark.range(700).selectExpr("id", "cast(id as string) s", "case when id % 3 = 0 then null else id / 7 end x")
     root = integrity.merkle_root(df, ["id"])

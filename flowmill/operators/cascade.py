@@ -9,7 +9,7 @@ from graphlib import TopologicalSorter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.sources.registry import Catalog, ForeignKey
+from flowmill.sources.registry import Catalog
 
 
 def excluded(table: str, patterns: list[str]) -> bool:
@@ -50,14 +50,14 @@ def write_order(tables: list[str], catalog: Catalog) -> list[str]:
     return out
 
 
-def _single(keys: list[ForeignKey]) -> list[ForeignKey]:
-    return [k for k in keys if len(k.columns) == 1]
+def _key(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(columns)])
 
 
-def _semi(df: DataFrame, column: str, keys: list[DataFrame]) -> DataFrame:
-    """Rows whose column is among the keys. One semi-join; Spark chooses how."""
-    all_keys = reduce(DataFrame.union, keys).where("k is not null").distinct()
-    return df.join(all_keys.withColumnRenamed("k", "__k"), F.col(f"`{column}`") == F.col("__k"), "left_semi")
+def _semi(df: DataFrame, columns: tuple[str, ...], keys: list[DataFrame]) -> DataFrame:
+    """Rows whose columns are among the keys. One semi-join; Spark chooses how."""
+    all_keys = reduce(DataFrame.union, keys).dropna().distinct()
+    return df.join(all_keys, reduce(lambda x, y: x & y, [F.col(f"`{c}`") == F.col(f"__k{i}") for i, c in enumerate(columns)]), "left_semi")
 
 
 def closure(root: str, rows: DataFrame, tables: dict[str, DataFrame], catalog: Catalog) -> dict[str, DataFrame]:
@@ -69,8 +69,8 @@ def closure(root: str, rows: DataFrame, tables: dict[str, DataFrame], catalog: C
     while waiting:
         ready = []
         for t in waiting:
-            owns = [k for k in _single(catalog[t].foreign_keys) if k.table in kept] if t in catalog else []
-            needed = [(s, k) for s in kept for k in (_single(catalog[s].foreign_keys) if s in catalog else []) if k.table == t]
+            owns = [k for k in catalog[t].foreign_keys if k.table in kept] if t in catalog else []
+            needed = [(s, k) for s in kept for k in (catalog[s].foreign_keys if s in catalog else []) if k.table == t]
             if owns or needed:
                 ready.append((t, owns, needed))
         if not ready:
@@ -79,12 +79,12 @@ def closure(root: str, rows: DataFrame, tables: dict[str, DataFrame], catalog: C
         for t, owns, needed in ready:
             if owns:
                 k = owns[0]
-                new[t] = _semi(tables[t], k.columns[0], [kept[k.table].select(F.col(f"`{k.target[0]}`").alias("k"))])
+                new[t] = _semi(tables[t], k.columns, [_key(kept[k.table], k.target)])
             else:
-                by: dict[str, list[DataFrame]] = {}
+                by: dict[tuple[str, ...], list[DataFrame]] = {}
                 for s, k in needed:
-                    by.setdefault(k.target[0], []).append(kept[s].select(F.col(f"`{k.columns[0]}`").alias("k")))
-                parts = [_semi(tables[t], column, keys) for column, keys in by.items()]
+                    by.setdefault(k.target, []).append(_key(kept[s], k.columns))
+                parts = [_semi(tables[t], columns, keys) for columns, keys in by.items()]
                 new[t] = parts[0] if len(parts) == 1 else reduce(DataFrame.union, parts).distinct()
         kept |= new
         waiting = [t for t in waiting if t not in new]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowmill.functions.compiler import Compiled, Compiler, Mode, either, kind
-from flowmill.lang.syntax import Binary, Check, DocumentError, Expr, Join, Name, NullTest, PluginCall
+from flowmill.lang.syntax import Binary, Call, Check, DocumentError, Expr, Join, Literal, Name, NullTest, PluginCall
 
 STAGE, RULE, REASON = "__stage", "__rule", "__reason"
 
@@ -95,6 +95,8 @@ class Flow:
     def filtered(self, frame: DataFrame) -> DataFrame:
         compiler = self.compiler(self._known(frame), {}, Mode.FILTER)
         for e in self.where:
+            if self.strict and not plain_condition(e):
+                raise DocumentError("where takes comparisons of a column with a constant, null tests, and and or alone")
             c = compiler.compile(e)
             if kind(c.dtype) not in ("bool", "null"):
                 raise DocumentError("where takes conditions")
@@ -200,6 +202,19 @@ def action(c: Check) -> str:
     return "warn" if c.kind == "warn" or given == "continue" else given
 
 
+def plain_condition(e: Expr) -> bool:
+    """Whether a condition is made of comparisons of a column with a constant and null tests alone."""
+    if isinstance(e, NullTest):
+        return isinstance(e.operand, Name)
+    if not isinstance(e, Binary):
+        return False
+    if e.op in ("and", "or"):
+        return plain_condition(e.left) and plain_condition(e.right)
+    constant = lambda x: isinstance(x, Literal) or isinstance(x, Name) and x.path[0] == "define" or isinstance(x, Call) and x.name == "env"
+    sides = (e.left, e.right) if isinstance(e.left, Name) else (e.right, e.left)
+    return e.op in ("==", "!=", "<", "<=", ">", ">=") and isinstance(sides[0], Name) and constant(sides[1])
+
+
 def named(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(f"{table}.{c}") for c in df.columns])
 

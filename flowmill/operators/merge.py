@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,16 +35,24 @@ def fitting(new: DataFrame, columns: list[str], generated: tuple[str, ...] = ())
     return new.select(*[F.col(f"`{have[c.lower()]}`").alias(c) for c in columns if c.lower() in have and c not in generated])
 
 
-def changed(left: str, right: str, columns: list[str]) -> Column:
-    tests = [~F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`{c}`")) for c in columns]
-    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
-
-
 def difference(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys with `status` missing, extra or changed. Repeats of a key count once."""
+    """Keys with `status` missing, extra or changed. Repeats of a key count once, by the row of greatest hash.
+
+    Both sides go through one aggregation by key: a row travels as its key and 128 bits of a hash of its
+    other columns, taken as the types of `expected`, so the rows themselves are never shuffled."""
+    types = {f.name: f.dataType for f in expected.schema.fields}
     rest = [c for c in expected.columns if c not in keys]
-    e, a = (latest(x.select(*keys, *rest), keys).withColumn("__here", F.lit(True)).alias(n) for x, n in ((expected, "e"), (actual, "a")))
-    on = reduce(lambda x, y: x & y, [F.col(f"e.`{k}`").eqNullSafe(F.col(f"a.`{k}`")) for k in keys])
-    status = F.when(F.col("a.__here").isNull(), "missing").when(F.col("e.__here").isNull(), "extra").when(changed("e", "a", rest), "changed")
-    both = e.join(a, on, "full_outer").withColumn("status", status).where("status is not null")
-    return both.select(*[F.coalesce(F.col(f"e.`{k}`"), F.col(f"a.`{k}`")).alias(k) for k in keys], "status")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        value = lambda c: F.col(f"`{c}`").cast(types[c]) if types[c].typeName() not in ("map", "variant") else F.to_json(F.col(f"`{c}`"))
+        # a null and a value next to it must not change places unseen: hashes skip nulls, so these are told apart
+        columns = [x for c in rest for x in (F.col(f"`{c}`").isNull(), value(c))]
+        mark = F.struct(F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns, F.lit(3)))
+        return df.select(*[F.col(f"`{k}`").cast(types[k]).alias(k) for k in keys], *[(mark if name == n else F.lit(None).cast("struct<col1: bigint, col2: bigint>")).alias(n) for n in ("__e", "__a")])
+
+    both = side(expected, "__e").unionByName(side(actual, "__a"))
+    parts = [F.max(F.col(f"{n}.col{i}")).alias(f"{n}{i}") for n in ("__e", "__a") for i in (1, 2)]
+    met = both.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*parts)
+    differ = (F.col("__e1") != F.col("__a1")) | (F.col("__e2") != F.col("__a2"))
+    status = F.when(F.col("__a1").isNull(), "missing").when(F.col("__e1").isNull(), "extra").when(differ, "changed")
+    return met.withColumn("status", status).where("status is not null").select(*[F.col(f"`{k}`") for k in keys], "status")

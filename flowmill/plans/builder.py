@@ -68,6 +68,7 @@ class Plan:
     env: dict[str, str]
     plugins: dict[str, Plugin]
     run_id: str = ""
+    strict: bool = False
 
     def levels(self) -> list[list[str]]:
         return cascade.levels({n: s.after for n, s in self.steps.items()})
@@ -81,7 +82,7 @@ class Plan:
                 raise DocumentError(f"plugin {e.plugin} isn't there")
             return plugin_calls.call(self.plugins[e.plugin], e, compiler)
 
-        return Flow(table or step.table, conditions if where is None else where, p.joins if table in (None, step.table) else [], p.select if table is None else select, p.checks if table is None else [], self.document.define, self.env, plugin, step.name, independent_rules=step.settings.independent_rules)
+        return Flow(table or step.table, conditions if where is None else where, p.joins if table in (None, step.table) else [], p.select if table is None else select, p.checks if table is None else [], self.document.define, self.env, plugin, step.name, self.strict, step.settings.independent_rules)
 
     def outcome(self, name: str) -> Outcome:
         """The pipeline's frames; nothing runs."""
@@ -119,7 +120,9 @@ class Plan:
 
 
 class Builder:
-    def __init__(self, spark: SparkSession, env: dict[str, str] | None = None, catalogs: dict[str, Catalog] | None = None, frames: dict[str, dict[str, DataFrame]] | None = None, plugins: dict[str, Any] | None = None):
+    def __init__(self, spark: SparkSession, env: dict[str, str] | None = None, catalogs: dict[str, Catalog] | None = None, frames: dict[str, dict[str, DataFrame]] | None = None, plugins: dict[str, Any] | None = None, strict: bool = False):
+        """`strict` lets where have comparisons with constants, null tests, and and or alone."""
+        self.strict = strict
         self.spark, self.env = spark, dict(os.environ) if env is None else env
         self.catalogs, self.handed, self.plugins = catalogs or {}, frames or {}, dict(plugins or {})
 
@@ -144,7 +147,7 @@ class Builder:
             steps |= {s.name: s for s in made}
         for s in steps.values():
             s.after = [x for d in s.after for x in groups[d]]
-        return Plan(self.spark, plain, steps, self.execution(plain), issues, self.env, self.plugins, run_id(plain))
+        return Plan(self.spark, plain, steps, self.execution(plain), issues, self.env, self.plugins, run_id(plain), self.strict)
 
     def constant(self, e: Expr | None, doc: Document) -> Any:
         match e:

@@ -185,3 +185,34 @@ def test_merge_statements():
     assert jdbc.upsert_statements("postgres", *args, "do_nothing")[0].endswith("DO NOTHING")
     assert jdbc.upsert_statements("mysql", *args, "do_update")[0].endswith("ON DUPLICATE KEY UPDATE a = VALUES(a)")
     assert jdbc.upsert_statements("mysql", *args, "do_nothing")[0].startswith("INSERT IGNORE")
+
+
+def test_difference_by_hashes(spark):
+    a = [(1, "x", None), (2, None, "x"), (3, "s", "t"), (3, "s", "t"), (None, "n", "n"), (4, "only", "here"), (6, None, "v")]
+    b = [(1, "x", None), (2, "x", None), (3, "s", "t"), (None, "n", "n"), (5, "only", "there"), (6, "v", None)]
+    one, two = (spark.createDataFrame(x, f"id {t}, p string, q string") for x, t in ((a, "int"), (b, "long")))
+    got = sorted(map(tuple, merge.difference(one, two, ["id"]).collect()))
+    assert got == [(2, "changed"), (4, "missing"), (5, "extra"), (6, "changed")]
+    assert merge.difference(one, one.repartition(3), ["id"]).count() == 0
+
+
+def test_keys_of_several_columns_in_a_cascade(spark):
+    from flowmill.operators import cascade
+    from flowmill.sources.registry import ForeignKey
+
+    catalog = {"lines": TableInfo(("a", "b", "n"), [ForeignKey(("a", "b"), "heads", ("x", "y"))]), "heads": TableInfo(("x", "y"))}
+    heads = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, None)], "x int, y int")
+    lines = spark.createDataFrame([(1, 1, 0), (1, 2, 0), (2, 2, 0), (2, None, 0)], "a int, b int, n int")
+    down = cascade.closure("heads", heads.where("y = 1"), {"heads": heads, "lines": lines}, catalog)
+    assert sorted(map(tuple, down["lines"].collect())) == [(1, 1, 0)]
+    up = cascade.closure("lines", lines.where("a = 1"), {"heads": heads, "lines": lines}, catalog)
+    assert sorted(map(tuple, up["heads"].collect())) == [(1, 1), (1, 2)]
+
+
+@pytest.mark.parametrize("condition", ["t.a + 1 > 2", 'lower(t.b) == "x"', "t.a == t.c", 't.a > 1 or lower(t.b) == "y"'])
+def test_strict_where(lake, condition):
+    lake.put("t", [(1, "x", 2), (3, "y", 3)], "a int, b string, c int")
+    with pytest.raises(DocumentError, match="where takes"):
+        lake.engine(strict=True).frames(lake.text(f"where {{ {condition} }}"))
+    assert lake.engine(strict=True).frames(lake.text("where { (t.a > 1 and t.b is not null) or 5 < t.c }"))["p"].count() == 1
+    lake.engine().frames(lake.text(f"where {{ {condition} }}"))

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 50
-#: Types from narrow to wide.
-LADDER = ("smallint", "int", "bigint", "double", "boolean", "date", "timestamp_ntz", "string")
+# Types from narrow to wide. JSON is kept as text with sorted keys.
+LADDER = ("smallint", "int", "bigint", "double", "boolean", "date", "timestamp_ntz", "json", "string")
 _INT_BITS = {"smallint": 15, "int": 31, "bigint": 63}
 
 
@@ -37,6 +37,12 @@ def value_type(text: str) -> str:
             continue
         if kind == "timestamp_ntz" or re.fullmatch(r"\d{4}-\d\d-\d\d", text):
             return kind
+    if text[0] in '{["':
+        try:
+            json.loads(text)
+            return "json"
+        except ValueError:
+            pass
     return "string"
 
 
@@ -47,15 +53,23 @@ def widest(types: Iterable[str]) -> str:
         return "string"
     if len(seen) == 1 or seen <= {"smallint", "int", "bigint", "double"} or seen <= {"date", "timestamp_ntz"}:
         return max(seen, key=LADDER.index)
-    return "string"
+    return "json" if "json" in seen and seen <= {"json", "smallint", "int", "bigint", "double", "boolean"} else "string"
 
 
 def infer(rows: list[tuple]) -> list[str]:
-    return [widest(value_type(v) for v in column if v not in (None, "")) for column in zip(*rows, strict=True)]
+    """A type for each column. 0 and 1 are booleans beside true and false, and numbers elsewhere."""
+    out = []
+    for column in zip(*rows, strict=True):
+        values = [v for v in column if v not in (None, "")]
+        words = {v.lower() for v in values}
+        out.append("boolean" if words & {"true", "false"} and words <= {"true", "false", "0", "1"} else widest(map(value_type, values)))
+    return out
 
 
 def typed(column: Column, kind: str) -> Column:
     present = F.when(column != "", column)
+    if kind == "json":
+        return F.to_json(F.try_parse_json(present))
     return present if kind == "string" else present.try_cast(kind)
 
 
@@ -71,7 +85,3 @@ def read(spark: SparkSession, options: dict[str, Any]) -> DataFrame:
     raw = raw.toDF(*names)
     kinds = infer([tuple(r) for r in raw.limit(SAMPLE_ROWS).collect()]) if names else []
     return raw.select(*[typed(F.col(n), k).alias(n) for n, k in zip(names, kinds or ["string"] * len(names), strict=True)])
-
-
-def canonical_json(text: str) -> str:
-    return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))

@@ -34,3 +34,14 @@ def test_ddl_order_and_switches():
     assert words(skip_pk=True, skip_fk=True, skip_idx=True, skip_seq=True, skip_unique=True, skip_check=True) == ["CREATE TYPE ENUM", "CREATE TABLE"]
     assert any("REFERENCES o2" in x["statement"] for x in sinks.ddl("t", schema, info, Settings(), {"other": "o2"}))
     assert [x["statement"] for x in sinks.ddl("t", schema, info, Settings(), existing=["id", "ref"])] == ["ALTER TABLE t ADD COLUMNS (kind BIGINT)"]
+
+
+def test_csv_json_and_booleans(spark, tmp_path):
+    from flowmill.sources import csv_files
+
+    (tmp_path / "t.csv").write_text('id,flag,bit,doc,mixed\n1,true,0,"{""b"": 1, ""a"": [2]}",1\n2,0,1,5,x\n3,1,1,"[1]","{""a"": 1}"\n')
+    got = csv_files.read(spark, {"url": f"file://{tmp_path}/t.csv"})
+    assert [t for _, t in got.dtypes] == ["smallint", "boolean", "smallint", "string", "string"]
+    rows = [tuple(r) for r in got.orderBy("id").collect()]
+    assert rows == [(1, True, 0, '{"a":[2],"b":1}', "1"), (2, False, 1, "5", "x"), (3, True, 1, "[1]", '{"a": 1}')]
+    assert csv_files.infer([("{bad", "true"), ("5", "7")]) == ["string", "string"]

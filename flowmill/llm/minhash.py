@@ -7,7 +7,7 @@ the likeness of two fingerprints.
 
 Near duplicates: `similar` joins bands of the signatures in Spark and verifies true similarities.
 
-Defined cases: null texts are empty; empty and blank texts share a fingerprint and have likeness 1
+Defined cases: very long texts are read whole, in pieces of bounded size; null texts are empty; empty and blank texts share a fingerprint and have likeness 1
 to each other; repeated rows are rows of their own; rows with equal doc_ids follow in the order of
 their texts; null doc_ids come first; an empty table gives no rows; other columns are ignored.
 """

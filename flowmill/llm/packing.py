@@ -9,7 +9,8 @@ sequence, from some offset on. Pieces get their rank within their length and joi
 No task sees a whole length: ranks are taken within (length, bucket), and what the buckets before
 hold is added from a small table; the join's key is the length and a block of ranks.
 
-Defined cases: a null text is empty and has its end id alone; an empty table gives no rows; repeated
+Defined cases: very long texts are cut into pieces, all of which are packed; of bins with the same room the
+one opened last is filled first; pieces of one length are dealt out in the order of doc_id and piece; a null text is empty and has its end id alone; an empty table gives no rows; repeated
 rows and repeated or null doc_ids are packed as rows of their own; columns other than `doc_id` and
 `text` are ignored, so their names can't clash.
 """

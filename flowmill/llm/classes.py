@@ -6,8 +6,9 @@ Two nodes are candidates if they share a key, one of the two entries is held, th
 similarity and `close` - a condition on the columns print and other_print - is true. Candidates are verified over
 their whole sets, and linked if their similarity is `at_least` or more.
 
-No bucket is expanded into all its pairs at once. In each round a bucket's members are held against
-the few members of least hash, `heads` of them, then eight times as many, and so on; what is linked by
+No bucket is expanded into all its pairs at once. First a bucket's members are held against the member
+whose buckets are largest - the text that the others are copies of - then against eight members by hash, then
+eight times as many, and so on; what is linked by
 then meets no more among itself, and a bucket whose members are one class, or have all been heads, is
 done. So a large group of near copies costs about its size, and no link between two classes is lost:
 the rounds go on until every candidate pair is verified or has its two sides in one class.
@@ -100,7 +101,10 @@ def classes(keyed: DataFrame, rows: DataFrame, entries: DataFrame, at_least: flo
     """For each of `rows` (doc_id, text_key, node) its component (the least node of its class) and
     component_id (the class's least doc_id). `keyed` has the texts, `entries` the buckets."""
     close = F.lit(True) if close is None else close
-    members = materialize(_bucketed(entries.withColumn("component", F.col("node"))), "members")
+    members = _bucketed(entries.withColumn("component", F.col("node")))
+    # what many are copies of is in most of their buckets
+    weights = members.where("held").groupBy("node").agg(F.sum("times").alias("weight"))
+    members = materialize(members.join(weights, "node", "left").fillna(0, ["weight"]), "members")
     # a bucket of few is held against all of itself at once; of larger ones all members may be asked for
     few = members.where(F.col("times") <= GROWTH)
     pairs = materialize(_pairs(few, few, at_least, close), "pairs")
@@ -115,8 +119,13 @@ def classes(keyed: DataFrame, rows: DataFrame, entries: DataFrame, at_least: flo
         left = materialize(_bucketed(left), "left")
         if left.isEmpty():
             break
-        chance = (F.xxhash64(F.lit(heads), "node") / F.lit(2.0**64) + 0.5) * F.col("times")
-        pairs = _pairs(left, left.where((chance < heads) | (F.col("times") <= heads)), at_least, close)
+        if heads == 1:
+            first = F.max_by(F.struct("node", "n", "print", "held", "component"), F.struct("weight", "node"))
+            chosen = left.groupBy("key").agg(first.alias("first")).select("key", "first.*")
+        else:
+            chance = (F.xxhash64(F.lit(heads), "node") / F.lit(2.0**64) + 0.5) * F.col("times")
+            chosen = left.where((chance < heads) | (F.col("times") <= heads))
+        pairs = _pairs(left, chosen, at_least, close)
         links = links.union(materialize(_alike(pairs, sets, at_least), "alike"))
         left = left.where(F.col("times") > heads)
         heads *= GROWTH

@@ -41,7 +41,7 @@ from flowmill.llm.shared import batch_words, materialize, slices, stir, texts_of
 
 CROWD = 64
 #: Fingerprints of words: segments, the bits of each, the longs they are cut from, and how many bits may differ.
-SEGMENTS, WIDTH, LONGS, FAR = 8, 28, 4, 56
+SEGMENTS, WIDTH, LONGS, FAR = 8, 28, 4, 44
 
 
 def fingerprint(text: str, words: int = 3) -> int:

@@ -11,6 +11,9 @@ The fingerprints that would meet there are linked without pairs: two fingerprint
 of each other exactly if some 64-bit value is within 1 bit of both, so each goes under its 65 such
 values, and all under one value are linked to the least of them. No link between components is lost.
 
+No table that grows with the corpus is broadcast for the size of its files: Parquet stores copies without ids in
+next to nothing, and the driver would hold all their rows.
+
 That is the query's contract. For a corpus, `keep_one` takes one of each class of texts that are alike by
 0.8 or more over five-word shingles. Such texts differ in too many bits of a shingle fingerprint to be
 looked up, but in few bits of a fingerprint over their distinct words (6 % of the bits on average, 9 % at
@@ -86,15 +89,15 @@ def links(prints: DataFrame) -> DataFrame:
         lambda i: F.col("half").bitwiseXOR(_bit(i)),
     )
     lookups = entries.select("which", F.col("fp").alias("u"), F.explode(F.concat(F.array("half"), cleared)).alias("half"))
-    lookups = lookups.join(crowded, ["which", "half"], "left")
     table = entries.select("which", "half", F.col("fp").alias("v"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2
-    met = lookups.where("crowded is null").join(table, ["which", "half"]).where((F.col("u") != F.col("v")) & near).select("u", "v")
-    meeting = lookups.where("crowded").select(F.col("u").alias("fp")).distinct()
+    met = lookups.join(crowded, ["which", "half"], "left").where("crowded is null").join(table.hint("merge"), ["which", "half"]).where((F.col("u") != F.col("v")) & near).select("u", "v")
+    # a semi join: an inner one may broadcast the lookups, which are many more than their files' size tells
+    meeting = lookups.join(crowded, ["which", "half"], "left_semi").select(F.col("u").alias("fp")).distinct()
     around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(_bit(i))))
     placed = materialize(meeting.select("fp", F.explode(around).alias("centre")), "centres")
     least = placed.groupBy("centre").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("centre", "v")
-    shared = placed.join(least, "centre").where("fp <> v").select(F.col("fp").alias("u"), "v")
+    shared = placed.join(least.hint("merge"), "centre").where("fp <> v").select(F.col("fp").alias("u"), "v")
     return met.union(shared)
 
 
@@ -107,7 +110,8 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     grouped = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     heads = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = grouped.join(heads, "component").select("fp", "component_id", "component")
-    return rows.join(named, "fp").select("doc_id", "text_key", "fp", "component_id", "component")
+    # each row has its match; an outer join can broadcast no more than the distinct fingerprints
+    return rows.join(named, "fp", "left").select("doc_id", "text_key", "fp", "component_id", "component")
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -78,6 +78,38 @@ def test_odd_rows(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def most_broadcast(plan):
+    """Rows of the largest broadcast in a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return most_broadcast(plan.executedPlan())
+    inner = [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("numOutputRows").value() if kind == "BroadcastExchangeExec" else 0
+    return max([own, *map(most_broadcast, inner)])
+
+
+def test_copies_are_not_gathered_on_the_driver(spark):
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a text like number "), F.md5((F.col("id") % 50).cast("string"))).alias("text"))
+    found = simhash.near_duplicates(docs)
+    assert len(found.collect()) == 100_000
+    assert most_broadcast(found._jdf.queryExecution().executedPlan()) <= 50
+
+
+@pytest.mark.parametrize("crowd", [0, 10**6])
+def test_links_broadcast_no_fingerprints(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    found = simhash.links(spark.createDataFrame([(i << 40 | i * 7,) for i in range(300)], "fp long"))
+    found.collect()
+    assert most_broadcast(found._jdf.queryExecution().executedPlan()) < (300 if crowd else 1200)
+
+
+def test_lookups_of_crowds_are_on_the_side_that_is_never_broadcast(spark, monkeypatch):
+    plans, real = {}, simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: plans.update({name: df._jdf.queryExecution().sparkPlan().toString()}) or real(df, name))
+    simhash.links(spark.createDataFrame([(i << 40 | i * 7,) for i in range(300)], "fp long"))
+    assert "LeftSemi" in plans["centres"] and "Inner" not in plans["centres"]
+
+
 def test_fingerprint_is_as_defined():
     for text in ["", "a", "A b", "É è Ü", "a\x0bb\x0cc d", "a\x85b c d e", "x y z " * 50]:
         assert simhash.fingerprint(text) == slow_fingerprint(text)
